@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, comments, fusion, leak, subjects
+from tessera.llm import bpe, comments, fusion, kmtree, leak, subjects
+from tessera.session import materialize
 from tessera.tables import table
 
 
@@ -31,6 +32,22 @@ def p2_fused(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "fqn", F.round("rrf_score", 9).alias("rrf_score"), "n_sources")
 
 
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return kmtree.collection(table(spark, d, "code_symbols"), table(spark, d, "agent_memories"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return kmtree.similar_pairs(_vectors(spark, d)).select("key_a", "key_b")
+
+
+def p4_knn(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar of every symbol whose id is divisible by 20, against all vectors."""
+    vectors = materialize(_vectors(spark, d), "vectors")
+    asked = vectors.where(F.col("key").startswith("symbol:") & (F.expr("try_cast(substring(key, 8) AS BIGINT)") % 20 == 0))
+    index = kmtree.build(vectors, 5)
+    return kmtree.neighbours(vectors, index, 5, asked).select("key", "other", F.round("similarity", 4).alias("similarity"), "place")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_texts(table(spark, d, "documents"), "doc_id", "text")
 
@@ -71,7 +88,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_pairs, p1_source_pairs, p2_found, p2_fused, p8_ids, p8_roundtrip, p9_found, p9_proximity, p9_report, p10_found, p10_composition)
+    for f in (p1_found, p1_pairs, p1_source_pairs, p2_found, p2_fused, p4_found, p4_knn, p8_ids, p8_roundtrip, p9_found, p9_proximity, p9_report, p10_found, p10_composition)
 }
 
 _RRF = """
@@ -97,6 +114,18 @@ ORACLE = {
 WITH {_RRF}
 SELECT query_id, fqn FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 12) DESC, fqn) AS k FROM fused) WHERE k <= 3""",
     "p2_fused": f"WITH {_RRF} SELECT query_id, fqn, round(rrf_score, 9) AS rrf_score, n_sources FROM fused",
+    "p4_found": """
+WITH live AS (
+  SELECT id, embedding, deleted_at, row_number() OVER (PARTITION BY fqn ORDER BY indexed_at DESC, id DESC) AS rn FROM code_symbols),
+v AS (
+  SELECT 'symbol:' || id AS key, embedding::DOUBLE[] AS e FROM live WHERE rn = 1 AND deleted_at IS NULL
+  UNION ALL SELECT 'memory:' || id, embedding::DOUBLE[] FROM agent_memories),
+ok AS (
+  SELECT key, e FROM v WHERE len(e) = 768 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+sim AS (
+  SELECT a.key AS key, b.key AS other, list_cosine_similarity(a.e, b.e) AS s FROM ok a JOIN ok b ON a.key <> b.key),
+near AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY s DESC, other) AS k FROM sim)
+SELECT DISTINCT least(key, other) AS key_a, greatest(key, other) AS key_b FROM near WHERE k <= 5 AND s >= 0.8""",
     "p8_roundtrip": "SELECT doc_id, true AS same FROM documents",
     "p9_found": f"WITH {_LEAK} SELECT doc_id, item_id FROM found",
     "p9_report": f"""
