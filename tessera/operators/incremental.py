@@ -36,17 +36,19 @@ def changed_files(log: DataFrame, runs: DataFrame, high=None) -> DataFrame:
     """repo_id and file_path of the files whose content the next run must take up.
 
     Covered rows are those received before the watermark of their repository;
-    ``high`` (a timestamp, fixed when the run starts) leaves rows received at or
-    after it to a later run. The row with the latest indexed_at (then the latest
+    ``high`` is the last received_at that this run takes, by default the latest
+    there is when it starts, so rows that arrive meanwhile are left to the next. The row with the latest indexed_at (then the latest
     received_at, then the largest row_id) tells a file's content. Both contents
     come from one aggregation that is combined before the shuffle, so a
     repository or file that holds a third of the log stays balanced. Rows with
     a null repository or path form files of their own; a null received_at is
     never covered.
     """
+    if high is None:
+        high = log.agg(F.max("received_at")).first()[0]
     rows = clean_log(log)
     if high is not None:
-        rows = rows.where(F.col("received_at").isNull() | (F.col("received_at") < F.lit(high)))
+        rows = rows.where(F.col("received_at").isNull() | (F.col("received_at") <= F.lit(high)))
     rows = rows.join(bounded(watermarks(runs)), "repo_id", "left")
     told = F.struct("indexed_at", "received_at", "row_id", "content_hash")
     per_file = rows.groupBy("repo_id", "file_path").agg(
