@@ -110,7 +110,7 @@ def _survivors(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of the rows of one reducer, sorted by key range, the (key, period, state) that are not sound."""
 
     def solve(g: pd.DataFrame) -> pd.DataFrame:
-        code, keys = pd.factorize(g["key"], sort=False)
+        code, keys = pd.factorize(g["key"].to_numpy(object), sort=False)
         is_parent = g["is_parent"].to_numpy()
         parent = code[is_parent]
         first = np.full(len(keys), np.iinfo(np.int64).min)
@@ -129,8 +129,9 @@ def _survivors(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for state, bits in (("missing", ref.andnot(known)), ("deleted", (ref & known).andnot(live)), ("late", (ref & live).andnot(early))):
                 hit = bits.decode()
                 if len(hit):
-                    outs.append(pd.DataFrame({"key": keys[hit], "period": int(period), "orphan_state": state, "first_ts": first[hit]}))
-        return pd.concat(outs) if outs else pd.DataFrame({"key": [], "period": [], "orphan_state": [], "first_ts": []})
+                    outs.append((keys[hit], np.full(len(hit), period, np.int32), np.full(len(hit), state, object), first[hit]))
+        cols = [np.concatenate(c) for c in zip(*outs, strict=True)] if outs else [np.zeros(0, object), np.zeros(0, np.int32), np.zeros(0, object), np.zeros(0, np.int64)]
+        return pd.DataFrame(dict(zip(("key", "period", "orphan_state", "first_ts"), cols, strict=True)))
 
     held: list[pd.DataFrame] = []
     for pdf in pdfs:

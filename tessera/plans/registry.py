@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("problems", "scalars", "graphs", "retrieval", "storage", "texts")
+_MODULES = ("problems", "scalars", "graphs", "retrieval", "storage", "texts", "streams")
 
 
 def _all(what: str) -> dict:
