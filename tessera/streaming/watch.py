@@ -73,7 +73,7 @@ def leading_debounce_stream(events: DataFrame, key: str, ts: str, micros_gap: in
                 last = int(t)
         if last is not None:
             state.update((last,))
-        yield pd.DataFrame({key: [k[0]] * len(out), ts: out})
+        yield pd.DataFrame([(k[0], t) for t in out], columns=[key, ts])
 
     kind = events.schema[key].dataType.simpleString()
     x = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(key, ts)
