@@ -238,8 +238,13 @@ def _leaks(docs: dict, items: dict, n: int = 12) -> set:
     import re
 
     words = lambda t: re.findall(r"[^\W_]+", "".join(c for c in t.lower() if c not in "\u200b\u00ad"))
-    grams = lambda t: {tuple(words(t)[i : i + n]) for i in range(len(words(t)) - n + 1)}
-    return {(d, i) for d, t in docs.items() if t for i, s in items.items() if s and grams(t) & grams(s)}
+
+    def grams(t: str) -> set:
+        w = words(t)
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+    of_docs, of_items = ({k: grams(t) for k, t in x.items() if t} for x in (docs, items))
+    return {(d, i) for d, g in of_docs.items() for i, h in of_items.items() if g & h}
 
 
 def test_leaks_equal_brute_force(spark):
