@@ -222,11 +222,13 @@ def train(docs: DataFrame, text: str, subjects: list[str], labelled: list[tuple[
     its sentences speak for, and all its sentences count in these shares, so
     what every subject's documents have in common becomes no evidence. The
     labelled texts are held out from the weights that the posteriors are
-    calibrated with.
+    calibrated with. Without any labelled text no document has a subject.
     """
     place = {s.strip().lower(): i for i, s in enumerate(subjects)}
     known = [(place[a.strip().lower()], t) for a, t in labelled if a and t and a.strip().lower() in place]
     k = len(subjects)
+    if not known:  # nothing to tell subjects by
+        return SubjectModel(list(subjects), np.zeros((FEATURES, max(k, 1)), np.float32), np.array(FIRST_CUT))
     seen = Sentences.of([t for _, t in known])
     labels = np.array([a for a, _ in known], np.int64)
     fixed = np.zeros((FEATURES, k + 1))
