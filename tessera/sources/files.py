@@ -21,7 +21,8 @@ FILES = T.StructType([T.StructField("path", T.StringType()), T.StructField("cont
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
     """path (relative, forward slashes), content, length, content_hash of every file below ``root``, one row a file.
 
-    The hash is SHA-256 of the bytes; content is decoded as UTF-8.
+    The hash is SHA-256 of the bytes; content is decoded as UTF-8. Empty files
+    have no row: file scans leave them out, and there is nothing to extract.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     prefix = F.regexp_replace(F.lit(root.rstrip("/")), r"^file:/*", "/")
