@@ -115,7 +115,7 @@ def ann_lsh(vectors: DataFrame, key: str, vector: str, query: list[float], limit
     v = F.transform(vector, lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     usable = vectors.where(F.size(vector) == len(query)).select(key, v.alias("v"), norm.alias("n")).where((F.col("n") > 0) & ~F.isnan("n") & (F.col("n") < float("inf")))
-    unit = usable.select(key, array_to_vector(F.coalesce(F.transform("v", lambda x: x / F.col("n")), F.array(F.lit(0.0)))).alias("u"))
+    unit = usable.select(key, array_to_vector(F.coalesce(F.transform("v", lambda x: x / F.col("n")), F.array_repeat(F.lit(0.0), len(query)))).alias("u"))
     q = np.array(query, float)
     q = q / np.linalg.norm(q)
     model = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", numHashTables=tables, bucketLength=bucket, seed=7).fit(unit)

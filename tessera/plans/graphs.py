@@ -227,9 +227,9 @@ def g15_on_cycle(spark, d):
 
 @_q("")
 def g15_cycle_paths(spark, d):
-    n = symbols(spark, d)
-    e = edges(spark, d).where(F.col("type").isin("DependsOn", "Inherits", "Declares", "Calls", "References")).withColumn("type", F.lit("DependsOn"))
-    return G.cycle_paths(n.withColumn("kind", F.lit("class")).withColumn("repo_id", F.lit("all")), e).select("repo_id", "n", F.array_join("path", " -> ").alias("path"))
+    """The paths among the nodes that are on a cycle of Inherits edges, as one group."""
+    looped = G.on_cycle(edges(spark, d), "Inherits").select("fqn", F.lit("class").alias("kind"), F.lit("all").alias("repo_id"))
+    return G.cycle_paths(looped, edges(spark, d), "Inherits").select("repo_id", "n", F.array_join("path", " -> ").alias("path"))
 
 
 @_q(f"WITH {LIVE} SELECT fqn, lower(kind) AS kind, name, (SELECT count(*) FROM live WHERE lower(kind) IN ('class', 'method')) AS total_matching FROM live WHERE lower(kind) IN ('class', 'method') ORDER BY 2, 3, 1 LIMIT 500")
