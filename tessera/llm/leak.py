@@ -58,8 +58,8 @@ def leaks(
     the document; with ``span`` equal to ``min_words`` (the default) that is the
     exact phrase, with a larger one a proximity match that forgives changed words.
 
-    Steps: the positional postings of all terms of the items; document
-    frequencies over the whole corpus; for each window of an item its rarest
+    Steps: the positional postings of all terms of the items; how often
+    each stands in the whole corpus; for each window of an item its rarest
     terms as anchors, so many that at least :data:`AGREE` of them must agree;
     anchor postings minus item offset give shifts, and shifts on which too few
     anchors of every window agree are dropped; for the others the lists of all
@@ -72,7 +72,7 @@ def leaks(
     anchors = span - min_words + need
     terms = materialize(item_terms(items, item, item_text), "item-terms")
     index = materialize(postings(docs, doc, doc_text, terms.select("term").distinct()), "postings")
-    freq = index.select("term", "doc_id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    freq = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     windows = materialize(_windows(terms, freq, span, anchors), "windows")
     wanted = windows.select("item_id", F.explode(F.flatten("picks")).alias("off")).distinct().join(terms, ["item_id", "off"])
     hits = index.join(bounded(wanted), "term").select("doc_id", "item_id", (F.col("pos") - F.col("off")).alias("shift"), "off")
