@@ -79,7 +79,7 @@ def leaks(
     agreed = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("off").alias("offs")).where(F.size("offs") >= need)
     passes = F.exists("picks", lambda w: F.size(F.array_intersect(w, F.col("offs"))) >= need)
     shifts = materialize(agreed.join(bounded(windows), "item_id").where(passes).select("doc_id", "item_id", "shift"), "shifts")
-    lists = index.join(shifts.select("doc_id").distinct(), "doc_id", "left_semi")
+    lists = index.join(bounded(shifts.select("doc_id").distinct()), "doc_id", "left_semi")
     expected = shifts.join(bounded(terms), "item_id").select("doc_id", "item_id", "shift", "term", (F.col("shift") + F.col("off")).alias("pos"), "off")
     hit = expected.join(lists, ["doc_id", "pos", "term"])
     near = Window.partitionBy("doc_id", "item_id", "shift").orderBy("off").rangeBetween(0, span - 1)
