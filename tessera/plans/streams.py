@@ -156,3 +156,22 @@ def j02_bounded_chain(spark, d):
     """A chain of self joins over several edge types at once."""
     seed = spark.createDataFrame([(busiest(spark, d, "Calls", "from_fqn"),)], "fqn string")
     return G.closure(G.clean_edges(edges(spark, d), "Calls", "UsesType", "References"), seed, 4)
+
+
+@_q("SELECT id, regexp_extract(CASE WHEN instr(fqn, '(') > 1 THEN split_part(fqn, '(', 1) ELSE fqn END, '[^.]*$') AS method, regexp_extract(CASE WHEN instr(fqn, '(') > 1 THEN split_part(fqn, '(', 1) ELSE fqn END, '(?s)^(.*)\\.[^.]*$', 1) AS owner, upper(sha256(fqn)) AS hash FROM code_symbols")
+def sql01_functions(spark, d):
+    """The registered functions, called from SQL."""
+    from tessera.functions.sql import register
+
+    register(spark)
+    return spark.sql("SELECT id, method_name(fqn) AS method, containing_type(fqn) AS owner, content_hash(fqn) AS hash FROM {s}", s=table(spark, d, "code_symbols"))
+
+
+@_q("")
+def sql02_extract_lateral(spark, d):
+    """The extractor as a table function, joined laterally to whole texts."""
+    from tessera.functions.sql import register
+
+    register(spark)
+    code = table(spark, d, "documents").where("doc_kind = 'code' AND text IS NOT NULL")
+    return spark.sql("SELECT c.doc_id, x.fqn, x.kind, x.start_line FROM {c} c, LATERAL extract_symbols('d.ts', c.text) x", c=code)
