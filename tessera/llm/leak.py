@@ -40,12 +40,12 @@ def postings(docs: DataFrame, doc: str, text: str, terms: DataFrame | None = Non
 
 
 def _windows(terms: DataFrame, freq: DataFrame, span: int, anchors: int) -> DataFrame:
-    """item_id, picks: for each window of ``span`` words of an item the offsets of its ``anchors`` rarest terms."""
+    """item_id, picks: for each window of ``span`` words of an item where it starts and the offsets of its ``anchors`` rarest terms."""
     rated = terms.join(freq, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     frame = Window.partitionBy("item_id").orderBy("off").rowsBetween(0, span - 1)
     seen = rated.withColumn("w", F.array_sort(F.collect_list(F.struct("df", "off")).over(frame))).where(F.size("w") == span)
     pick = F.transform(F.slice("w", 1, anchors), lambda x: x["off"])
-    return seen.groupBy("item_id").agg(F.collect_set(F.array_sort(pick)).alias("picks"))
+    return seen.groupBy("item_id").agg(F.collect_list(F.struct(F.col("off").alias("start"), pick.alias("offs"))).alias("picks"))
 
 
 def leaks(
@@ -63,7 +63,7 @@ def leaks(
     terms as anchors, so many that at least :data:`AGREE` of them must agree;
     anchor postings minus item offset give shifts, and shifts on which too few
     anchors of every window agree are dropped; for the others the lists of all
-    terms are intersected in the same way. Texts and items that are null or too
+    terms of the windows that pass are intersected in the same way. Texts and items that are null or too
     short give no rows; each id of a repeated item and of a repeated text has
     its own rows.
     """
@@ -74,13 +74,15 @@ def leaks(
     index = materialize(postings(docs, doc, doc_text, terms.select("term").distinct()), "postings")
     freq = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     windows = materialize(_windows(terms, freq, span, anchors), "windows")
-    wanted = windows.select("item_id", F.explode(F.flatten("picks")).alias("off")).distinct().join(terms, ["item_id", "off"])
+    wanted = windows.select("item_id", F.explode(F.flatten("picks.offs")).alias("off")).distinct().join(terms, ["item_id", "off"])
     hits = index.join(bounded(wanted), "term").select("doc_id", "item_id", (F.col("pos") - F.col("off")).alias("shift"), "off")
     agreed = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("off").alias("offs")).where(F.size("offs") >= need)
-    passes = F.exists("picks", lambda w: F.size(F.array_intersect(w, F.col("offs"))) >= need)
-    shifts = materialize(agreed.join(bounded(windows), "item_id").where(passes).select("doc_id", "item_id", "shift"), "shifts")
+    passing = F.filter("picks", lambda w: F.size(F.array_intersect(w["offs"], F.col("offs"))) >= need)["start"]
+    shifts = agreed.join(bounded(windows), "item_id").select("doc_id", "item_id", "shift", passing.alias("starts")).where(F.size("starts") > 0)
+    shifts = materialize(shifts, "shifts")
     lists = index.join(bounded(shifts.select("doc_id").distinct()), "doc_id", "left_semi")
-    expected = shifts.join(bounded(terms), "item_id").select("doc_id", "item_id", "shift", "term", (F.col("shift") + F.col("off")).alias("pos"), "off")
+    inside = F.exists("starts", lambda s: (F.col("off") >= s) & (F.col("off") < s + span))
+    expected = shifts.join(bounded(terms), "item_id").where(inside).select("doc_id", "item_id", "shift", "term", (F.col("shift") + F.col("off")).alias("pos"), "off")
     hit = expected.join(lists, ["doc_id", "pos", "term"])
     near = Window.partitionBy("doc_id", "item_id", "shift").orderBy("off").rangeBetween(0, span - 1)
     runs = hit.withColumn("n", F.count(F.lit(1)).over(near)).where(F.col("n") >= min_words)
