@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.hotjoin import hot_join, hot_keys
+from tessera.session import materialize
+
 #: Quantile buckets that a group is split into before rows are ordered.
 BUCKETS = 64
 
@@ -15,17 +18,25 @@ def grouped_rank(df: DataFrame, group: list[str], score: str, name: str = "rank"
     Exact for groups of any size and skew. Equal scores are first reduced to
     one row with a count; the distinct scores of a group are cut into quantile
     buckets, and the rank is the number of rows in higher buckets plus the rank
-    inside the bucket. So no task orders more than about one bucket of a group.
+    inside the bucket. So no task orders more than about one bucket of a group,
+    and hot groups and hot ties meet their few rows by broadcast.
     ``score`` and the group columns must not be null; repeated rows count. The
     result has the columns of ``df`` and ``name`` (long).
     """
-    tied = df.groupBy(*group, score).agg(F.count(F.lit(1)).alias("_n"))
-    cuts = tied.groupBy(*group).agg(F.percentile_approx(score, [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"))
-    placed = tied.join(cuts, group).withColumn("_b", F.aggregate("_cuts", F.lit(0), lambda acc, c: acc + (c < F.col(score)).cast("int"))).drop("_cuts")
-    sizes = placed.groupBy(*group, "_b").agg(F.sum("_n").alias("_size"))
+    of_group, of_tie = F.xxhash64(*group), F.xxhash64(*group, score)
+    tied = materialize(df.groupBy(*group, score).agg(F.count(F.lit(1)).alias("_n")).withColumn("_g", of_group).withColumn("_t", of_tie), "ties")
+    groups = tied.groupBy("_g").agg(F.count(F.lit(1)).alias("_k"))
+    totals = tied.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    hot_groups = materialize(hot_keys(groups, "_g", "_k", totals[0]), "hot-groups")
+    hot_ties = materialize(hot_keys(tied, "_t", "_n", totals[1]), "hot-ties")
+    cuts = tied.groupBy(*group).agg(F.percentile_approx(score, [i / buckets for i in range(1, buckets)], 1000).alias("_cuts")).withColumn("_g", of_group)
+    placed = hot_join(tied, cuts, [*group, "_g"], "_g", hot_groups)
+    placed = placed.withColumn("_b", F.aggregate("_cuts", F.lit(0), lambda acc, c: acc + (c < F.col(score)).cast("int"))).drop("_cuts")
+    sizes = placed.groupBy(*group, "_g", "_b").agg(F.sum("_n").alias("_size"))
     per_group = Window.partitionBy(*group).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_above", F.coalesce(F.sum("_size").over(per_group), F.lit(0))).drop("_size")
     in_bucket = Window.partitionBy(*group, "_b").orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, -1)
     ranks = placed.withColumn("_in", F.coalesce(F.sum("_n").over(in_bucket), F.lit(0)))
-    ranks = ranks.join(offsets, [*group, "_b"]).select(*group, score, (F.col("_above") + F.col("_in") + 1).alias(name))
-    return df.join(ranks, [*group, score])
+    ranks = hot_join(ranks, offsets, [*group, "_g", "_b"], "_g", hot_groups)
+    ranks = ranks.select(*group, score, "_t", (F.col("_above") + F.col("_in") + 1).alias(name))
+    return hot_join(df.withColumn("_t", of_tie), ranks, [*group, score, "_t"], "_t", hot_ties).drop("_t")
