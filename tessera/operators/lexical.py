@@ -53,8 +53,8 @@ def classify_col(query: Column | str) -> Column:
 def code_tokens_col(query: Column | str) -> Column:
     """The tokens of a mixed query that look like code, joined by spaces; null without a space or such a token."""
     query = F.col(query) if isinstance(query, str) else query
-    cleaned = F.transform(F.filter(F.split(query, " "), lambda t: t != ""), lambda t: F.regexp_replace(t, r"^[,;:()\[\]{}\"'?!]+|[,;:()\[\]{}\"'?!]+$", ""))
-    code = lambda t: t.contains(".") | X.is_pascal(t) | X.is_camel(t) | (t.rlike(r"^[\p{Lu}\p{Nd}_]+$") & (F.length(t) >= 2))
+    cleaned = F.transform(F.filter(F.split(query, " "), lambda t: t != ""), lambda t: F.regexp_replace(t, r"^[,;:()\[\]{}\"'?!]+|[,;:()\[\]{}\"'?!]+\z", ""))
+    code = lambda t: t.contains(".") | X.is_pascal(t) | X.is_camel(t) | (t.rlike(r"^[\p{Lu}\p{Nd}_]+\z") & (F.length(t) >= 2))
     kept = F.filter(cleaned, lambda t: (t != "") & code(t))
     return F.when(query.contains(" ") & (F.size(kept) > 0), F.array_join(kept, " "))
 

@@ -92,10 +92,6 @@ def r01_tiered_substring(spark, d):
 _SENTENCE = "regexp_extract(text, '^([^\\r\\n]*)', 1)"
 
 
-def _first_line() -> F.Column:
-    return F.regexp_extract("text", r"^([^\r\n]*)", 1)
-
-
 _STOP = ", ".join(f"'{w}'" for w in L.STOP_WORDS)
 _TOK = f"list_filter(regexp_split_to_array({_SENTENCE}, '[\\s,;:()\\[\\]{{}}\"'']+'), lambda t: t <> '')"
 
@@ -105,7 +101,7 @@ y AS (SELECT doc_id, tok, list_filter(tok, lambda t: lower(t) NOT IN ({_STOP}) A
 SELECT doc_id, array_to_string(CASE WHEN len(a) > 0 THEN a ELSE list_filter(tok, lambda t: length(t) > 1) END, ' ') AS terms FROM y""")
 def r05_split_terms(spark, d):
     docs = table(spark, d, "documents").where("text IS NOT NULL")
-    return docs.select("doc_id", F.array_join(L.split_terms_col(_first_line()), " ").alias("terms"))
+    return docs.select("doc_id", F.array_join(L.split_terms_col("text"), " ").alias("terms"))
 
 
 _STRUCT = " OR ".join(f"contains(lower(q), '{w}')" for w in L.STRUCTURAL)
@@ -114,7 +110,7 @@ _STRUCT = " OR ".join(f"contains(lower(q), '{w}')" for w in L.STRUCTURAL)
 @_q(f"SELECT doc_id, CASE WHEN {_STRUCT} THEN 'Graph' WHEN contains(q, '.') AND NOT contains(q, ' ') THEN 'Bm25' ELSE 'Hybrid' END AS route FROM (SELECT doc_id, {_SENTENCE} AS q FROM documents WHERE text IS NOT NULL)")
 def r08_classify(spark, d):
     docs = table(spark, d, "documents").where("text IS NOT NULL")
-    return docs.select("doc_id", L.classify_col(_first_line()).alias("route"))
+    return docs.select("doc_id", L.classify_col("text").alias("route"))
 
 
 _TRIMSET = "[,;:()\\[\\]{}\"''?!]+"
@@ -127,7 +123,7 @@ y AS (SELECT doc_id, q, list_filter(list_transform(list_filter(string_split(q, '
 SELECT doc_id, CASE WHEN contains(q, ' ') AND len(k) > 0 THEN array_to_string(k, ' ') END AS code FROM y""")
 def r09_code_tokens(spark, d):
     docs = table(spark, d, "documents").where("text IS NOT NULL")
-    return docs.select("doc_id", L.code_tokens_col(_first_line()).alias("code"))
+    return docs.select("doc_id", L.code_tokens_col("text").alias("code"))
 
 
 _VEC = "SELECT id, embedding::DOUBLE[] AS e FROM agent_memories WHERE len(embedding) = 768 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0"
