@@ -7,6 +7,7 @@ null or blank end take no part.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -254,29 +255,110 @@ def dead_code(nodes: DataFrame, edges: DataFrame, limit: int | None = None) -> D
     return out
 
 
-def on_cycle(edges: DataFrame, kind: str = "DependsOn", depth: int = 10) -> DataFrame:
-    """G15, set form: fqn of nodes that reach themselves within ``depth`` steps of one edge type.
-
-    Nodes without a way in or out are peeled off first; pairs are only built for what is left.
+#: Edges of which one task finds the cycles; more are first split over the cluster.
+CYCLE_EDGES = 500_000
+
+
+def _strong_components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """fqn and component (its smallest fqn) of the nodes on a cycle of the edges of one partition, by Tarjan's search."""
+    parts = [b for b in batches if len(b)]
+    if not parts:
+        return
+    g = pd.concat(parts)
+    out_edges: dict[str, list[str]] = {}
+    for a, b in zip(g["from_fqn"], g["to_fqn"], strict=True):
+        out_edges.setdefault(a, []).append(b)
+    index: dict[str, int] = {}
+    low: dict[str, int] = {}
+    waiting: list[str] = []
+    inside: set[str] = set()
+    rows: list[tuple[str, str]] = []
+    for root in out_edges:
+        if root in index:
+            continue
+        todo: list[tuple[str, Iterator[str]]] = []
+        nxt: str | None = root
+        while nxt is not None or todo:
+            if nxt is not None:
+                index[nxt] = low[nxt] = len(index)
+                waiting.append(nxt)
+                inside.add(nxt)
+                todo.append((nxt, iter(out_edges.get(nxt, ()))))
+            at, rest = todo[-1]
+            nxt = None
+            for b in rest:
+                if b not in index:
+                    nxt = b
+                    break
+                if b in inside:
+                    low[at] = min(low[at], index[b])
+            if nxt is not None:
+                continue
+            todo.pop()
+            if todo:
+                low[todo[-1][0]] = min(low[todo[-1][0]], low[at])
+            if low[at] == index[at]:
+                found = [waiting.pop()]
+                while found[-1] != at:
+                    found.append(waiting.pop())
+                inside.difference_update(found)
+                if len(found) > 1 or at in out_edges.get(at, ()):
+                    first = min(found)
+                    rows.extend((f, first) for f in found)
+    yield pd.DataFrame(rows, columns=["fqn", "component"])
+
+
+def _split_off(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """fqn and component of the nodes on a cycle through the largest node that leads to them, and the edges that other cycles may have.
+
+    Every node takes the largest fqn that reaches it as its colour; what leads
+    back to that fqn inside the colour is its strong component.
+    """
+    ends = endpoints(e)
+    colour = materialize(ends.select("fqn", F.col("fqn").alias("colour")), "cycle-colour")
+    while True:
+        told = e.join(colour, e["from_fqn"] == colour["fqn"]).select(F.col("to_fqn").alias("fqn"), F.col("colour").alias("told")).groupBy("fqn").agg(F.max("told").alias("told"))
+        new = colour.join(told, "fqn", "left").select("fqn", F.greatest("colour", "told").alias("colour"), (F.col("told") > F.col("colour")).alias("moved"))
+        new = materialize(new, "cycle-colour")
+        colour = new.select("fqn", "colour")
+        if new.where("moved").limit(1).count() == 0:
+            break
+    a, b = colour.toDF("from_fqn", "colour"), colour.toDF("to_fqn", "colour2")
+    same = materialize(e.join(a, "from_fqn").join(b, "to_fqn").where("colour = colour2").select("from_fqn", "to_fqn", "colour"), "cycle-same")
+    seen = front = materialize(colour.where("fqn = colour").select("fqn"), "cycle-back")
+    while front.limit(1).count():
+        front = same.join(front.toDF("to_fqn"), "to_fqn", "left_semi").select(F.col("from_fqn").alias("fqn")).distinct().join(seen, "fqn", "left_anti")
+        front = materialize(front, "cycle-front")
+        seen = materialize(seen.unionByName(front), "cycle-back")
+    kept = same.join(seen.toDF("from_fqn"), "from_fqn", "left_semi").join(seen.toDF("to_fqn"), "to_fqn", "left_semi")
+    hit = kept.select(F.col("from_fqn").alias("fqn"), "colour").distinct()
+    hit = hit.join(hit.groupBy("colour").agg(F.min("fqn").alias("component")), "colour").select("fqn", "component")
+    rest = same.join(seen.toDF("from_fqn"), "from_fqn", "left_anti").join(seen.toDF("to_fqn"), "to_fqn", "left_anti")
+    return materialize(hit, "cycle-hit"), materialize(rest.select("from_fqn", "to_fqn"), "cycle-edges")
+
+
+def cycle_components(edges: DataFrame, kind: str = "DependsOn", capacity: int = CYCLE_EDGES) -> DataFrame:
+    """fqn and component (the smallest fqn on a cycle with it) of the nodes that reach themselves over one edge type, however long the way.
+
+    While there are more edges than one task takes, nodes without a way in or
+    out are peeled off, and where that takes little away whole components are
+    split off; the rest is one depth-first search.
     """
     e = materialize(clean_edges(edges, kind).select("from_fqn", "to_fqn"), "cycle-edges")
-    for _ in range(depth):
-        n = e.count()
+    parts: list[DataFrame] = []
+    while (n := e.count()) > capacity:
         e = e.join(e.select(F.col("to_fqn").alias("from_fqn")).distinct(), "from_fqn", "left_semi")
         e = materialize(e.join(e.select(F.col("from_fqn").alias("to_fqn")).distinct(), "to_fqn", "left_semi").select("from_fqn", "to_fqn"), "cycle-core")
-        if e.count() == n:
-            break
-    walk = e.select(F.col("from_fqn").alias("start"), F.col("to_fqn").alias("at")).distinct()
-    hit = walk.where("start = at").select(F.col("start").alias("fqn"))
-    seen = walk
-    for _ in range(depth - 1):
-        walk = walk.join(e, walk["at"] == e["from_fqn"]).select("start", F.col("to_fqn").alias("at")).distinct().join(seen, ["start", "at"], "left_anti")
-        walk = materialize(walk, "cycle-walk")
-        if walk.limit(1).count() == 0:
-            break
-        hit = hit.unionByName(walk.where("start = at").select(F.col("start").alias("fqn")))
-        seen = materialize(seen.unionByName(walk), "cycle-seen")
-    return hit.distinct()
+        if e.count() > 0.9 * n:
+            hit, e = _split_off(e)
+            parts.append(hit)
+    last = e.repartition(1).mapInPandas(_strong_components, "fqn string, component string")
+    return materialize(reduce(DataFrame.unionByName, [*parts, last]), "cycle-nodes")
+
+
+def on_cycle(edges: DataFrame, kind: str = "DependsOn") -> DataFrame:
+    """G15, set form: fqn of nodes that reach themselves over one edge type."""
+    return cycle_components(edges, kind).select("fqn")
 
 
 #: Nodes of one group that a path search takes, and paths that it gives; both are part of the operator.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.operators import graph as G
 from tessera.plans import retrieval as Q
 
 
@@ -19,3 +20,17 @@ def test_texts_are_read_beyond_their_first_line(spark, tmp_path):
     assert by(Q.r08_classify(spark, d)) == {"d0": "Graph", "d1": "Graph", "d2": "Hybrid", "d3": "Bm25"}
     # as in the reference, tokens end at spaces only, and marks before a line break are not trimmed: MAX_ROWS!\n is no word in capitals
     assert by(Q.r09_code_tokens(spark, d)) == {"d0": "OrderService.run", "d1": None, "d2": "API)\nor", "d3": None}
+
+
+def _edges(spark, pairs):
+    return spark.createDataFrame([(a, b, "Inherits") for a, b in pairs], "from_fqn string, to_fqn string, type string")
+
+
+def test_cycles_of_any_length(spark):
+    ring = [(f"r{i:02}", f"r{(i + 1) % 14:02}") for i in range(14)]
+    pairs = [*ring, ("x", "r00"), ("r05", "y"), ("y", "z"), ("self", "self"), ("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("d", "e"), ("e", "d")]
+    want = {**{f"r{i:02}": "r00" for i in range(14)}, "self": "self", "b": "b", "c": "b", "d": "d", "e": "d"}
+    e = _edges(spark, pairs)
+    assert {r["fqn"] for r in G.on_cycle(e, "Inherits").collect()} == set(want)
+    for capacity in (1000, 0):
+        assert {r["fqn"]: r["component"] for r in G.cycle_components(e, "Inherits", capacity).collect()} == want
