@@ -370,6 +370,17 @@ def cycle_paths(nodes: DataFrame, edges: DataFrame, kind: str = "DependsOn") ->
     types = nodes.where(F.lower("kind").isin("class", "struct", "record")).select("repo_id", "fqn")
     w = Window.partitionBy("repo_id").orderBy("fqn")
     few = types.withColumn("k", F.row_number().over(w)).where(F.col("k") <= CYCLE_NODES).drop("k")
+    return _paths(few, edges, kind, CYCLE_PATHS)
+
+
+def all_cycle_paths(edges: DataFrame, kind: str = "DependsOn") -> DataFrame:
+    """G15, path form without limits: component, n, path of every cycle that a depth-first search of each strong component meets."""
+    looped = cycle_components(edges, kind).select("fqn", F.col("component").alias("repo_id"))
+    return _paths(looped, edges, kind, None).withColumnRenamed("repo_id", "component")
+
+
+def _paths(few: DataFrame, edges: DataFrame, kind: str, limit: int | None) -> DataFrame:
+    """repo_id, n, path of the first cycles that a depth-first search meets inside each group (repo_id) of nodes; all without a limit."""
     e = clean_edges(edges, kind)
     inside = e.join(few.withColumnRenamed("fqn", "from_fqn"), "from_fqn").join(few.select(F.col("repo_id").alias("r2"), F.col("fqn").alias("to_fqn")), "to_fqn").where("repo_id = r2")
 
@@ -396,7 +407,7 @@ def cycle_paths(nodes: DataFrame, edges: DataFrame, kind: str = "DependsOn") ->
                     place[nxt] = len(path)
                     path.append(nxt)
                     todo.append(iter(out_edges.get(nxt, [])))
-        rows = [(g["repo_id"].iloc[0], i, p) for i, p in enumerate(found[:CYCLE_PATHS])]
+        rows = [(g["repo_id"].iloc[0], i, p) for i, p in enumerate(found[:limit])]
         return pd.DataFrame(rows, columns=["repo_id", "n", "path"])
 
     return inside.groupBy("repo_id").applyInPandas(search, "repo_id string, n int, path array<string>")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
@@ -227,9 +227,10 @@ def g15_on_cycle(spark, d):
 
 @_q("")
 def g15_cycle_paths(spark, d):
-    """The paths among the nodes that are on a cycle of Inherits edges, as one group."""
-    looped = G.on_cycle(edges(spark, d), "Inherits").select("fqn", F.lit("class").alias("kind"), F.lit("all").alias("repo_id"))
-    return G.cycle_paths(looped, edges(spark, d), "Inherits").select("repo_id", "n", F.array_join("path", " -> ").alias("path"))
+    """All cycles of Inherits edges, which may cross repositories: one group, numbered by the smallest fqn of the component."""
+    paths = G.all_cycle_paths(edges(spark, d), "Inherits")
+    n = F.row_number().over(Window.orderBy("component", "n")) - 1
+    return paths.select(F.lit("all").alias("repo_id"), n.alias("n"), F.array_join("path", " -> ").alias("path"))
 
 
 @_q(f"WITH {LIVE} SELECT fqn, lower(kind) AS kind, name, (SELECT count(*) FROM live WHERE lower(kind) IN ('class', 'method')) AS total_matching FROM live WHERE lower(kind) IN ('class', 'method') ORDER BY 2, 3, 1 LIMIT 500")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.operators import graph as G
+from tessera.plans import graphs as P
 from tessera.plans import retrieval as Q
 
 
@@ -34,3 +35,10 @@ def test_cycles_of_any_length(spark):
     assert {r["fqn"] for r in G.on_cycle(e, "Inherits").collect()} == set(want)
     for capacity in (1000, 0):
         assert {r["fqn"]: r["component"] for r in G.cycle_components(e, "Inherits", capacity).collect()} == want
+
+
+def test_cycle_paths_have_no_limit(spark, tmp_path):
+    pairs = [(f"t{i:03}.{a}", f"t{i:03}.{b}") for i in range(110) for a, b in (("a", "b"), ("b", "a"))]
+    _edges(spark, pairs).write.parquet(f"{tmp_path}/relationships.parquet")
+    got = {r["n"]: r["path"] for r in P.g15_cycle_paths(spark, str(tmp_path)).collect()}
+    assert got == {i: f"t{i:03}.a -> t{i:03}.b -> t{i:03}.a" for i in range(110)}
