@@ -155,24 +155,27 @@ def vector_top(vectors: DataFrame, key: str, vector: str, query: list[float], li
     return out.orderBy(F.col("score").desc(), key).limit(limit)
 
 
-def rrf(lists: dict[str, DataFrame], key: str, limit: int = 20, k: int = 60) -> DataFrame:
+def rrf(lists: dict[str, DataFrame], key: str, limit: int = 20, k: int = 60, by: str | None = None) -> DataFrame:
     """Place, key, score, source of several ranked lists (key, rank from 1) fused: sum of 1 / (k + rank).
 
     A key that a list holds twice adds up; its source is the first list that has
-    it; ties go to the earlier list, the better rank, then the smaller key.
+    it; ties go to the earlier list, the better rank, then the smaller key. With
+    a column ``by`` of the lists, each of its values is fused and limited by itself.
     """
-    parts = [df.select(key, F.col("rank").cast("long").alias("rank"), F.lit(i).alias("ord"), F.lit(name).alias("source")) for i, (name, df) in enumerate(lists.items())]
+    group = [by] if by else []
+    parts = [df.select(*group, key, F.col("rank").cast("long").alias("rank"), F.lit(i).alias("ord"), F.lit(name).alias("source")) for i, (name, df) in enumerate(lists.items())]
     every = reduce(DataFrame.unionByName, parts)
-    out = every.groupBy(key).agg(F.sum(1.0 / (k + F.col("rank"))).alias("s"), F.min(F.struct("ord", "rank", "source")).alias("f"))
-    out = out.select(key, F.round("s", 9).alias("score"), "f.source", F.col("f.ord").alias("ord"), F.col("f.rank").alias("r"))
+    out = every.groupBy(*group, key).agg(F.sum(1.0 / (k + F.col("rank"))).alias("s"), F.min(F.struct("ord", "rank", "source")).alias("f"))
+    out = out.select(*group, key, F.round("s", 9).alias("score"), "f.source", F.col("f.ord").alias("ord"), F.col("f.rank").alias("r"))
     order = (F.col("score").desc(), F.col("ord"), F.col("r"), F.col(key))
-    page = out.orderBy(*order).limit(limit)
-    return page.select(F.row_number().over(Window.orderBy(*order)).alias("place"), key, "score", "source")
+    page = out if by else out.orderBy(*order).limit(limit)
+    placed = page.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    return placed.where(F.col("place") <= limit).select(*group, "place", key, "score", "source")
 
 
-def ranked(df: DataFrame, *order: Column) -> DataFrame:
-    """O1: a result page with its ranks from 1."""
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+def ranked(df: DataFrame, *order: Column, by: str | None = None) -> DataFrame:
+    """O1: a result page with its ranks from 1; with a column ``by``, one page for each of its values."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*([by] if by else [])).orderBy(*order)))
 
 
 def entry_text(level: Column | int) -> Column:

@@ -177,12 +177,9 @@ l AS (SELECT fqn, s, row_number() OVER (PARTITION BY s ORDER BY score DESC, fqn)
 f AS (SELECT fqn, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score, arg_min(s, (ord, r)) AS source, min(ord) AS ord, arg_min(r, (ord, r)) AS r FROM l GROUP BY fqn)
 SELECT row_number() OVER (ORDER BY score DESC, ord, r, fqn) AS place, fqn, score, source FROM f ORDER BY place LIMIT 20""")
 def r12_rrf(spark, d):
-    """R12 as the engine's own fusion has it: an item that one list holds twice adds up."""
-    hits = table(spark, d, "search_results").where("score IS NOT NULL AND NOT isnan(score)")
-    first = hits0 = table(spark, d, "search_results").agg(F.min("query_id")).first()[0]
-    hits = hits.where(F.col("query_id") == F.lit(hits0)).withColumn("s", F.lower(F.trim("source")))
-    del first
-    return L.rrf({s: L.ranked(hits.where(F.col("s") == s), F.col("score").desc(), F.col("fqn")).select("fqn", "rank") for s in ("vector", "bm25", "graph", "memory", "rerank")}, "fqn")
+    """R12 as the engine's own fusion has it, for every query_id: an item that one list holds twice adds up."""
+    hits = table(spark, d, "search_results").where("score IS NOT NULL AND NOT isnan(score)").withColumn("s", F.lower(F.trim("source")))
+    return L.rrf({s: L.ranked(hits.where(F.col("s") == s), F.col("score").desc(), F.col("fqn"), by="query_id").select("query_id", "fqn", "rank") for s in ("vector", "bm25", "graph", "memory", "rerank")}, "fqn", by="query_id")
 
 
 @_q("")

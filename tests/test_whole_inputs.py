@@ -42,3 +42,14 @@ def test_cycle_paths_have_no_limit(spark, tmp_path):
     _edges(spark, pairs).write.parquet(f"{tmp_path}/relationships.parquet")
     got = {r["n"]: r["path"] for r in P.g15_cycle_paths(spark, str(tmp_path)).collect()}
     assert got == {i: f"t{i:03}.a -> t{i:03}.b -> t{i:03}.a" for i in range(110)}
+
+
+def test_rrf_fuses_every_query(spark, tmp_path):
+    rows = [(q, f"f{i:02}", float(30 - i), s) for q in (1, 2) for s in ("vector", " BM25") for i in range(25)]
+    rows += [(3, "twice", 2.0, "graph"), (3, "twice", 1.0, "graph"), (3, "once", 3.0, "graph"), (3, "nan", float("nan"), "graph")]
+    spark.createDataFrame(rows, "query_id long, fqn string, score double, source string").write.parquet(f"{tmp_path}/search_results.parquet")
+    got = Q.r12_rrf(spark, str(tmp_path)).collect()
+    for q in (1, 2):
+        mine = sorted((r["place"], r["fqn"], r["source"]) for r in got if r["query_id"] == q)
+        assert mine == [(i + 1, f"f{i:02}", "vector") for i in range(20)]
+    assert {(r["place"], r["fqn"], r["score"]) for r in got if r["query_id"] == 3} == {(1, "twice", round(1 / 62 + 1 / 63, 9)), (2, "once", round(1 / 61, 9))}
