@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.hierarchy import descendant_counts, parent_links, solve_forest
+from tessera.operators.hierarchy import descendant_counts, descendants, parent_links, solve_forest
 from tessera.operators.incremental import changed_files
 from tessera.operators.keycounts import dense_key_results, heavy_keys
 from tessera.operators.orphans import orphan_references, orphan_report
@@ -45,6 +45,10 @@ def p6_tree(spark: SparkSession, d: str) -> DataFrame:
     return out.select("fqn", "root_fqn", "node_depth", F.array_join("path", " > ").alias("path_text"), F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"))
 
 
+def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return descendants(solve_forest(parent_links(table(spark, d, "relationships")), with_path=True))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return orphan_references(table(spark, d, "relationships"), table(spark, d, "code_symbols")).select("edge_id", "edge_end", "orphan_state")
 
@@ -53,7 +57,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return orphan_report(table(spark, d, "relationships"), table(spark, d, "code_symbols"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_key_results, p5_found, p6_found, p6_tree, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_key_results, p5_found, p6_found, p6_tree, p6_descendants, p7_found, p7_report)}
 
 _ENDS = """
 ends AS (
@@ -120,6 +124,12 @@ above AS (
 below AS (SELECT anc, count(*) AS k FROM above GROUP BY anc)
 SELECT n.node AS fqn, coalesce(t.root, '') AS root_fqn, CAST(coalesce(t.depth, -1) AS INTEGER) AS node_depth, t.path AS path_text, coalesce(b.k, 0) AS n_descendants
 FROM nodes n LEFT JOIN tree t ON t.node = n.node LEFT JOIN below b ON b.anc = n.node""",
+    "p6_descendants": f"""
+WITH RECURSIVE {_FOREST},
+above AS (
+  SELECT n.node, n.parent AS anc, 1 AS k FROM nodes n JOIN tree t ON t.node = n.node WHERE n.parent IS NOT NULL
+  UNION ALL SELECT a.node, n.parent, a.k + 1 FROM above a JOIN nodes n ON n.node = a.anc WHERE n.parent IS NOT NULL)
+SELECT anc AS fqn, node AS descendant_fqn, k AS distance FROM above""",
     "p7_found": f"WITH {_ENDS} SELECT edge_id, edge_end, orphan_state FROM state WHERE orphan_state IS NOT NULL",
     "p7_report": f"""
 WITH {_ENDS} SELECT edge_end, orphan_state, strftime(indexed_at, '%Y-%m') AS month, count(*) AS n FROM state WHERE orphan_state IS NOT NULL GROUP BY ALL""",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessera.operators import graph as G
 from tessera.plans import graphs as P
+from tessera.plans import problems as H
 from tessera.plans import retrieval as Q
 
 
@@ -53,3 +54,9 @@ def test_rrf_fuses_every_query(spark, tmp_path):
         mine = sorted((r["place"], r["fqn"], r["source"]) for r in got if r["query_id"] == q)
         assert mine == [(i + 1, f"f{i:02}", "vector") for i in range(20)]
     assert {(r["place"], r["fqn"], r["score"]) for r in got if r["query_id"] == 3} == {(1, "twice", round(1 / 62 + 1 / 63, 9)), (2, "once", round(1 / 61, 9))}
+
+
+def test_descendants_are_listed(spark, tmp_path):
+    _edges(spark, [("b", "a"), ("c", "b"), ("d", "b"), ("x", "y"), ("y", "x"), ("z", "x")]).write.parquet(f"{tmp_path}/relationships.parquet")
+    got = sorted((r["fqn"], r["descendant_fqn"], r["distance"]) for r in H.QUERIES["p6_descendants"](spark, str(tmp_path)).collect())
+    assert got == [("a", "b", 1), ("a", "c", 2), ("a", "d", 2), ("b", "c", 1), ("b", "d", 1)]
