@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, comments, fusion, kmtree, leak, subjects
-from tessera.session import materialize
 from tessera.tables import table
 
 
@@ -42,10 +41,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_knn(spark: SparkSession, d: str) -> DataFrame:
     """The five most similar of every symbol whose id is divisible by 20, against all vectors."""
-    vectors = materialize(_vectors(spark, d), "vectors")
-    asked = vectors.where(F.col("key").startswith("symbol:") & (F.expr("try_cast(substring(key, 8) AS BIGINT)") % 20 == 0))
-    index = kmtree.build(vectors, 5)
-    return kmtree.neighbours(vectors, index, 5, asked).select("key", "other", F.round("similarity", 4).alias("similarity"), "place")
+    vectors = _vectors(spark, d)
+    asked = vectors.where(F.col("key").startswith("symbol:") & (F.expr("try_cast(substring(key, 8) AS BIGINT)") % 20 == 0)).select("key")
+    return kmtree.nearest(vectors, 5, asked).select("key", "other", F.round("similarity", 4).alias("similarity"), "place")
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:

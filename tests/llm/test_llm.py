@@ -169,14 +169,53 @@ def test_vector_cases(spark):
     assert kmtree.similar_pairs(df.limit(0), 5).count() == 0
 
 
+def _vectors(spark, x: np.ndarray):
+    rows = [(f"k{i:05d}", v.tolist()) for i, v in enumerate(x.astype(np.float32))]
+    return kmtree.pack_vectors(spark.createDataFrame(rows, "key string, e array<float>").repartition(4), "key", "e", x.shape[1])
+
+
 def test_many_copies_of_one_vector(spark, monkeypatch):
     monkeypatch.setattr(kmtree, "UNIT_ROWS", 50)
     rows = [(f"k{i:03d}", [1.0, 2.0, 3.0]) for i in range(200)] + [("far", [-1.0, 0.0, 0.5])]
     df = kmtree.pack_vectors(spark.createDataFrame(rows, "key string, e array<float>"), "key", "e", 3)
-    near = kmtree.neighbours(df, kmtree.build(df, 3), 3).collect()
+    near = kmtree.nearest(df, 3).collect()
     assert len({r["key"] for r in near}) == 201 and all(abs(r["similarity"] - 1) < 1e-6 for r in near if r["key"] != "far")
 
 
+def test_twenty_thousand_copies_keep_their_links(spark):
+    """Copies are searched once; each still has its links, to copies of the smallest keys and to nothing far away."""
+    x = np.concatenate([np.tile([1.0, 2.0, 3.0, 4.0], (20_000, 1)), [[1.0, 2.0, 3.0, 4.1], [-1.0, 0.0, 0.5, 0.0]]])
+    pairs = kmtree.similar_pairs(_vectors(spark, x), 5, 0.8).toPandas()
+    linked = set(pairs["key_a"]) | set(pairs["key_b"])
+    assert len(linked) == 20_001 and "k20001" not in linked
+    assert len(pairs) <= 5 * 20_001 and pairs["key_a"].isin([f"k{i:05d}" for i in range(6)]).all()
+
+
+def test_hot_leaf_of_near_copies(spark, monkeypatch):
+    """Near copies fill one bin: it gets a tree of its own, cells stay small and the true neighbours are found."""
+    monkeypatch.setattr(kmtree, "SAMPLE_ROWS", 900)
+    monkeypatch.setattr(kmtree, "DEEP_ROWS", 300)
+    monkeypatch.setattr(kmtree, "LEAF_ROWS", 100)
+    monkeypatch.setattr(kmtree, "UNIT_ROWS", 500)
+    monkeypatch.setattr(kmtree, "UNIT_QUERIES", 800)
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(size=(1500, 8)), np.ones((3000, 8)) + 0.01 * r.normal(size=(3000, 8))]).astype(np.float32)
+    df = _vectors(spark, x)
+    index = kmtree.build(df, 5)
+    assert index.rows.max() <= 300 and index.rows.sum() == len(x)
+    cells = kmtree.Cells.of(index, len(x))
+    assert cells.count > len(x) / 800
+    got: dict[str, set] = {}
+    for row in kmtree.neighbours(df, index, 5, None, 0.8).collect():
+        got.setdefault(row["key"], set()).add(row["other"])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    true = np.argsort(-s[1500:], axis=1)[:, :5]
+    recall = np.mean([len(got.get(f"k{i + 1500:05d}", set()) & {f"k{j:05d}" for j in t}) / 5 for i, t in enumerate(true)])
+    assert recall >= 0.9
+
+
 # ---- tokens ----
 
 
