@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import zipfile
@@ -11,8 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when it was counted and has no more rows than this.
-BROADCAST_ROWS = 50_000
+#: A side is broadcast only when it was counted and has no more rows and bytes (as text) than this.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 32 << 20
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -37,14 +38,17 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) a temporary folder is made
-    and set; it goes away with the process.
+    Only where that setting is absent on a local master (as in tests) a
+    temporary folder is made and set; on a cluster, whose executors could not
+    reach it, its absence is an error.
     """
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_dir.isDefined():
             return set_dir.get()
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
         at = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         spark.sparkContext.setCheckpointDir(at)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -93,10 +97,16 @@ def release(*dfs: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
-def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if a count proves it small, else as it is."""
-    few = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if few else df
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has no more rows and bytes than that; it reads one row more than ``max_rows`` at most."""
+    size = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, total = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return n <= max_rows and total <= max_bytes
+
+
+def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if its rows and bytes were counted and are few, else as it is."""
+    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
 
 
 _shipped: set[str] = set()
