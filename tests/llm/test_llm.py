@@ -57,11 +57,31 @@ def test_paired_symbols(spark):
         (4, "c.h", "h", "method", "  ", "Blocks.", 1, T0, None, "x"), (5, "d.i", "i", "class", "i", "Blocks.", 1, T0, None, "x"), (6, "e.j", "j", "method", "j()", "Blocks.", 1, T0, None, "x"), (7, "e.j", "j", "method", "j()", "Blocks.", 1, later, later, "x"),
         (8, "k.l", None, "method", "l()", "Blocks.", None, T0, None, None), (9, None, "m", "method", "m()", "Blocks.", 1, T0, None, "x"), (10, "n.o", "o", "method", "o()", None, 1, T0, None, "x"), (11, "p.q", "q", "function", "q()", "Ties win.", 1, T0, None, "x"), (12, "p.q", "q", "function", "q()", "Ties win by id.", 1, T0, None, "x"),
     ]
-    df = spark.createDataFrame(rows, cols)
+    df = spark.createDataFrame(rows, cols).withColumn("repo_id", F.lit("r")).withColumn("file_path", F.when(F.col("id") % 2 == 0, "x.py"))
     assert sorted(r["id"] for r in comments.paired_symbols(df).collect()) == [1, 8, 12]
     assert comments.paired_symbols(df.limit(0)).count() == 0
 
 
+def test_one_file_holds_all_functions(spark):
+    """A hot file is spread over tasks, all of it on one line; each function keeps its own comment, whatever stands beside it."""
+    rows = [(i, f"a.f{i}", f"f{i}", "method", f"f{i}(p{i})", f"@param p{(i + 1) % 900} it\nKeeps the newest {i} of f{(i + 7) % 900}." if i % 3 else None, 5 if i < 600 else i, "r", "one.py", T0, None) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, fqn string, name string, kind string, signature string, documentation string, start_line int, repo_id string, file_path string, indexed_at timestamp_ntz, deleted_at timestamp_ntz")
+    got = {r["id"]: r["description"] for r in comments.paired_symbols(df).collect()}
+    assert got == {i: f"Keeps the newest {i} of f{(i + 7) % 900}." for i in range(900) if i % 3}
+
+
+def test_records_go_through_the_assignment(monkeypatch):
+    seen = []
+    real = comments.assign
+    monkeypatch.setattr(comments, "assign", lambda s: seen.append(s.shape) or real(s))
+    rec = lambda i, name, doc, line: (i, f"a.{name}", "method", name, f"{name}(x)", doc, "r", "f.py", line)
+    rows = [rec(1, "f", "Blocks. See g.\n@param x it", 10), rec(2, "g", "Skips f.", 12), rec(3, "h", None, 13), rec(4, "k", "TODO", 14), rec(5, "far", '"""Never blocks."""', 90)]
+    assert sorted(r[0] for r in comments._pair_stretch(rows)) == [1, 2, 5]
+    assert sum(n for n, _ in seen) == 4
+    monkeypatch.setattr(comments, "assign", lambda s: [])
+    assert list(comments._pair_stretch(rows)) == []
+
+
 def test_links_by_distance_tags_and_names():
     text = "/** Adds numbers.\n * @param left first\n * @param right second */\n/** Joins texts, see glue. */\nfunction add(left, right) { }\n\n// far away\n\n\n\n\n\nfunction glue(a) { }\n// Stops at once.\nfunction stop() { }\n"
     got = {}
@@ -71,6 +91,14 @@ def test_links_by_distance_tags_and_names():
     assert got == {"add": "Adds numbers.", "stop": "Stops at once."}
 
 
+def test_signatures_of_many_lines():
+    args = "".join(f"    a{i}: int,\n" for i in range(40))
+    text = f'def wide(\n{args}) -> int:\n    """Sums all of them.\n\n    Args:\n        a39: the last\n    """\n    return 0\n\ndef open_one(a,\n\n# Waits for the lock.\ndef after(b):\n    pass\n'
+    cs, fs = comments.scan_source(text)
+    assert [f.name for f in fs] == ["wide", "open_one", "after"] and "a39" in fs[0].params
+    assert {fs[f].name: comments.plain_text(cs[c].text) for c, f in comments.link(cs, fs)} == {"wide": "Sums all of them.", "after": "Waits for the lock."}
+
+
 def test_assignment_is_optimal():
     import itertools
 
