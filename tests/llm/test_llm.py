@@ -347,17 +347,50 @@ def test_sentences_leave_out_code():
     assert ["the", "nurse", "waits", "for", "the", "doctor"] in got
 
 
+def test_parsed_texts_hold_the_sentences():
+    import zlib
+
+    texts = ["The bank pays. Ok.\nSee src/a/b.py now and then.", None, "", "Đã thêm cột vắc xin bên cạnh. The nurse\nwaits."]
+    langs = subjects.language_table([("vi", texts[3].split(".")[0]), ("en", texts[0])])
+    s = subjects.Sentences.of(texts, langs)
+    want = [(i, w) for i, t in enumerate(texts) for w in (subjects.sentences(t) if t else ())]
+    assert s.owner.tolist() == [i for i, _ in want]
+    ends = [*s.starts[1:].tolist(), len(s.ids)]
+    for (_, w), a, b in zip(want, s.starts, ends, strict=True):
+        lang = set((s.ids[a:b] % 2).tolist())
+        assert b - a == 2 * len(w) - 1 and len(lang) == 1
+        assert (s.ids[a : a + len(w)] // 2).tolist() == [zlib.crc32(x.encode()) % (subjects.FEATURES // 2) for x in w]
+    assert [int(s.ids[a] % 2) for a in s.starts] == [1 if "vắc" in w else 0 for _, w in want]
+
+
+def test_curves_follow_their_own_subject():
+    r = np.random.default_rng(2)
+    label = np.arange(60) % 2
+    text = np.repeat(np.arange(60), 5)
+    x = r.uniform(0, 3, size=(300, 2))
+    said = np.arange(300) % 5 < 3  # the other sentences of a text belong to no subject
+    x[said, label[text[said]]] = np.where(label[text[said]] == 0, r.uniform(6, 12, said.sum()), r.uniform(14, 20, said.sum()))
+    x[:, 1] += 5 * (x[:, 1] < 14)
+    label[:2] = 1 - label[:2]  # wrong labels
+    cut = subjects.calibrate(x, text, label)
+    low, high = -cut[:, 1] / cut[:, 0]
+    assert 3 <= low < 8 < high <= 14
+
+
 @needs_data
 def test_held_out_labels(spark):
     t = lambda n: spark.read.parquet(f"{DATA}/{n}.parquet")
     names = [r[0] for r in t("subject_areas").orderBy("subject").collect()]
     rows = [(r["subject"], r["example_text"]) for r in t("subject_examples").orderBy("example_id").collect()]
     neutral = [r[0] for r in t("eval_items").select("item_text").collect()]
-    model = subjects.train(t("documents"), "text", names, rows[::2], neutral)
+    langs = subjects.language_table([(r["lang"], r["example_text"]) for r in t("subject_examples").collect()])
+    parsed = subjects.parsed_texts(t("documents"), "doc_id", "text")
+    model = subjects.train(parsed, names, [r for i, r in enumerate(rows[::2]) if i % 5], rows[:-1:10], neutral, langs)
+    assert model.cut.shape == (8, 2) and len(np.unique(model.cut, axis=0)) > 1
     held = [(i, s, x) for i, (s, x) in enumerate(rows[1::2])]
     docs = spark.createDataFrame([(i, x) for i, _, x in held], "doc_id long, text string")
     best: dict = {}
-    for r in subjects.document_subjects(docs, "doc_id", "text", model).collect():
+    for r in subjects.document_subjects(subjects.parsed_texts(docs, "doc_id", "text"), model).collect():
         best[r["doc_id"]] = max(best.get(r["doc_id"], (0, "")), (r["n_sentences"], r["subject"]))
     right = sum(best.get(i, (0, ""))[1] == s.strip().lower() for i, s, _ in held)
     assert right >= 0.85 * len(held)
