@@ -42,13 +42,15 @@ SHARE = 0.25
 
 _BLOCK = 8192
 
-_SENTENCE = re.compile(r"(?<=[.!?])[\s\"'*_)]+|[\r\n\x85  ]+|\|")
-_WRAPPED = re.compile(r"(?<![.!?:|>\s])[ \t]*\r?\n[ \t]*(?:>[ \t]*|//[ \t]*|\*[ \t]+|#[ \t]+)?(?=[a-zà-ỹ])")
+_ENDS = re.compile(r"[.!?][\s\"'*_)]+|\|")
+_GOES_ON = re.compile(r"[ \t]*(?:>[ \t]*|//[ \t]*|\*[ \t]+|#[ \t]+)?([a-zà-ỹ])")
 _SPANS = re.compile(r"`[^`\n]*`|<[^<>\n]{0,40}>")
 _NAMES = re.compile(r"\S*[/\\]\S+|\b\w*[a-z0-9][A-Z]\w*|\b\w+_\w+|&\w+;")
 _WORD = re.compile(r"[^\W\d_]{2,}")
-_CODE = re.compile(r"[;{}]\s*$|^\s*(?:return|def|fn|func|function|export|public|private|import|class)\b.*[({;:]")
-_INVISIBLE = {i: None for i in range(0x110000) if unicodedata.category(chr(i)) == "Cf"}
+_CODE = re.compile(r"\s*(?:return|def|fn|func|function|export|public|private|import|class)\b.*[({;:]")
+# Format characters (Cf) stand below 0x20000 or among the tags.
+_INVISIBLE = {i: None for i in (*range(0x20000), *range(0xE0000, 0xE0080)) if unicodedata.category(chr(i)) == "Cf"}
+_ANY_INVISIBLE = re.compile("[" + "".join(map(chr, _INVISIBLE)) + "]")
 #: Spellings of which the words are kept at hand.
 _KNOWN_TOKENS = 500_000
 
@@ -57,32 +59,35 @@ def _token_words(token: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(_NAMES.sub(" ", token))]
 
 
-class _Words:
+class _Words(dict):
     """The words of a token in small letters as 32-bit hashes; tokens seen before are looked up."""
 
-    def __init__(self):
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def __call__(self, token: str) -> tuple[int, ...]:
-        got = self.known.get(token)
-        if got is None:
-            got = tuple(zlib.crc32(w.encode()) for w in _token_words(token))
-            if len(self.known) >= _KNOWN_TOKENS:
-                self.known.clear()
-            if len(token) <= 40:
-                self.known[token] = got
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        got = tuple(zlib.crc32(w.encode()) for w in _token_words(token))
+        if len(token) <= 40:
+            if len(self) >= _KNOWN_TOKENS:
+                self.clear()
+            self[token] = got
         return got
 
 
 def _sentences(text: str) -> Iterator[str]:
-    """The sentences of a text without code and marked names."""
+    """The sentences of a text without code and marked names; a line that begins small goes on with the one above."""
     if not text.isascii():
         if not unicodedata.is_normalized("NFKC", text):
             text = unicodedata.normalize("NFKC", text)
-        text = text.translate(_INVISIBLE)
-    for s in _SENTENCE.split(_WRAPPED.sub(" ", text)):
-        if s and not _CODE.search(s):
-            yield _SPANS.sub(" ", s) if "`" in s or "<" in s else s
+        if _ANY_INVISIBLE.search(text):
+            text = text.translate(_INVISIBLE)
+    whole: list[str] = []
+    for line in text.splitlines():
+        if whole and whole[-1] and whole[-1][-1] not in ".!?:|>" and (m := _GOES_ON.match(line)):
+            whole[-1] = f"{whole[-1]} {line[m.start(1) :].rstrip()}"
+        else:
+            whole.append(line.rstrip())
+    for line in whole:
+        for s in _ENDS.split(line) if line else ():
+            if s and s.rstrip()[-1:] not in (";", "{", "}") and not _CODE.match(s):
+                yield _SPANS.sub(" ", s) if "`" in s or "<" in s else s
 
 
 def sentences(text: str) -> Iterator[list[str]]:
@@ -93,19 +98,24 @@ def sentences(text: str) -> Iterator[list[str]]:
             yield words
 
 
-def parse(text: str | None, words: _Words) -> tuple[list[int], list[int]]:
-    """The word hashes of a text and where its sentences begin in them."""
+def parse(texts: list[str | None], words: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The word hashes of texts one after another, how many each text has, where its sentences begin in its own, and how many it has."""
     codes: list[int] = []
     starts: list[int] = []
-    for s in _sentences(text) if text else ():
-        at = len(codes)
-        for t in s.split():
-            codes += words(t)
-        if len(codes) - at >= 2:
-            starts.append(at)
-        else:
-            del codes[at:]
-    return codes, starts
+    sizes, counts = [], []
+    for text in texts:
+        begin, before = len(codes), len(starts)
+        for s in _sentences(text) if text else ():
+            at = len(codes)
+            for t in s.split():
+                codes += words[t]
+            if len(codes) - at >= 2:
+                starts.append(at - begin)
+            else:
+                del codes[at:]
+        sizes.append(len(codes) - begin)
+        counts.append(len(starts) - before)
+    return np.array(codes, np.uint32), np.array(sizes, np.int64), np.array(starts, np.int32), np.array(counts, np.int64)
 
 
 def language_table(labelled: list[tuple[str, str]]) -> np.ndarray:
@@ -119,7 +129,7 @@ def language_table(labelled: list[tuple[str, str]]) -> np.ndarray:
     words, n = _Words(), np.zeros((LANGUAGE_WORDS, len(langs)))
     for lang, text in labelled:
         if lang:
-            np.add.at(n[:, langs.index(lang)], np.array(parse(text, words)[0], np.int64) % LANGUAGE_WORDS, 1)
+            np.add.at(n[:, langs.index(lang)], parse([text], words)[0] % LANGUAGE_WORDS, 1)
     totals, every = n.sum(0), n.sum(1, keepdims=True)
     out = np.log((n + 1000 * every / max(every.sum(), 1) + 0.01) / (totals + 1000))
     out -= out.mean(1, keepdims=True)
@@ -160,16 +170,12 @@ class Sentences:
         ids[first + place] = words % room
         inner = place < size - 1
         ids[(first + size + place)[inner]] = (pairs % room)[inner]
-        lang = np.add.reduceat(langs[codes % LANGUAGE_WORDS], begin, axis=0).argmax(1)
+        lang = np.add.reduceat(langs[words % np.uint64(LANGUAGE_WORDS)], begin, axis=0).argmax(1)
         return Sentences(ids * n_lang + np.repeat(lang, 2 * length - 1), at, owner)
 
     @staticmethod
     def of(texts: list[str | None], langs: np.ndarray) -> Sentences:
-        words = _Words()
-        parsed = [parse(t, words) for t in texts]
-        flat = lambda i: np.array([x for p in parsed for x in p[i]], np.int64)
-        size = lambda i: np.array([len(p[i]) for p in parsed], np.int64)
-        return Sentences.of_codes(flat(0), size(0), flat(1), size(1), langs)
+        return Sentences.of_codes(*parse(texts, _Words()), langs)
 
     @staticmethod
     def of_lists(codes: pa.ListArray, starts: pa.ListArray, langs: np.ndarray) -> Sentences:
@@ -289,17 +295,15 @@ def parsed_texts(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """doc_id, codes, starts: every text as word hashes and sentence starts, read once for all passes; no shuffle."""
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc].dataType), T.StructField("codes", T.ArrayType(T.IntegerType())), T.StructField("starts", T.ArrayType(T.IntegerType()))])
 
-    def lists(rows: list[list[int]], kind: np.dtype) -> pa.ListArray:
-        offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.array([x for r in rows for x in r], kind).view(np.int32)))
+    lists = lambda values, sizes: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values.view(np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
-                parsed = [parse(t, words) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), lists([p[0] for p in parsed], np.uint32), lists([p[1] for p in parsed], np.int32)], names=["doc_id", "codes", "starts"])
+                codes, sizes, starts, counts = parse(part.column(1).to_pylist(), words)
+                yield pa.RecordBatch.from_arrays([part.column(0), lists(codes, sizes), lists(starts, counts)], names=["doc_id", "codes", "starts"])
 
     return docs.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(run, schema)
 
