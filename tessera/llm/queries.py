@@ -107,6 +107,21 @@ item_grams AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS g F
 found AS (SELECT DISTINCT doc_id, item_id FROM doc_grams JOIN item_grams USING (g))
 """
 
+_PROXIMITY = r"""
+WITH dw AS (
+  SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (
+    SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '\p{Cf}+', '', 'g')), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL)),
+iw AS (
+  SELECT item_id, unnest(w) AS term, unnest(range(len(w))) AS off FROM (
+    SELECT item_id, regexp_extract_all(lower(regexp_replace(item_text, '\p{Cf}+', '', 'g')), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE item_text IS NOT NULL)),
+hit AS (SELECT doc_id, item_id, pos - off AS shift, off FROM dw JOIN iw USING (term)),
+full_hit AS (SELECT * FROM hit QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, shift) >= 12),
+near AS (
+  SELECT doc_id, item_id, shift, shift + off AS pos, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY off RANGE BETWEEN CURRENT ROW AND 15 FOLLOWING) AS n FROM full_hit),
+best AS (SELECT doc_id, item_id, shift, max(n) AS n, min(pos) AS p FROM near WHERE n >= 12 GROUP BY ALL)
+SELECT doc_id, item_id, max(n)::INTEGER AS n_words, arg_min(p, (-n, p))::INTEGER AS first_pos FROM best GROUP BY ALL
+"""
+
 ORACLE = {
     "p2_found": f"""
 WITH {_RRF}
@@ -126,6 +141,7 @@ near AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY s DESC, other) A
 SELECT DISTINCT least(key, other) AS key_a, greatest(key, other) AS key_b FROM near WHERE k <= 5 AND s >= 0.8""",
     "p8_roundtrip": "SELECT doc_id, true AS same FROM documents",
     "p9_found": f"WITH {_LEAK} SELECT doc_id, item_id FROM found",
+    "p9_proximity": _PROXIMITY,
     "p9_report": f"""
 WITH {_LEAK}
 SELECT i.item_id, i.suite, count(f.doc_id) AS n_docs FROM eval_items i LEFT JOIN found f ON f.item_id = i.item_id GROUP BY ALL""",

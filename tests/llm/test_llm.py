@@ -338,6 +338,35 @@ def test_leaks_equal_brute_force(spark):
     assert leak.leaks(dd, "doc_id", "text", ii.limit(0), "item_id", "item_text").count() == 0
 
 
+def test_index_is_kept_and_serves_other_items(spark, tmp_path):
+    """Ranges of few words: lists of a word that is in every document stay short; phrases never run over two documents."""
+    r = random.Random(9)
+    texts = [" ".join(["the", *(f"w{r.randrange(30)}" for _ in range(25))]) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(60, "solo " * 300), (61, None), (62, ""), (None, texts[0])], "doc_id long, text string").coalesce(3)
+    built = leak.PostingsIndex.build(docs, "doc_id", "text", 100)
+    assert built.lists.where("term = 'the'").agg(F.max("n")).first()[0] <= 4
+    assert built.lists.where("term IS NOT NULL").agg(F.sum("n")).first()[0] == 60 * 26 + 300
+    built.write(str(tmp_path / "index"))
+    index = leak.PostingsIndex.read(spark, str(tmp_path / "index"))
+    two = " ".join(texts[3].split()[-8:] + texts[4].split()[:8])
+    changed = texts[5].split()[:20]
+    changed[7] = "other"
+    items = spark.createDataFrame([(1, " ".join(texts[9].split()[4:17])), (2, two), (3, " ".join(changed)), (4, "solo " * 12)], "item_id int, item_text string")
+    find = lambda **k: {(x["doc_id"], x["item_id"], x["n_words"], x["first_pos"]) for x in leak.find_leaks(index, items, "item_id", "item_text", **k).collect()}
+    assert find() == {(9, 1, 12, 4), (5, 3, 12, 8), (60, 4, 12, 0)}
+    assert find(span=16) == {(9, 1, 13, 4), (5, 3, 15, 0), (60, 4, 12, 0)}
+
+
+def test_items_in_chunks_give_the_same(spark, monkeypatch):
+    r = random.Random(10)
+    texts = [" ".join(f"w{r.randrange(20)}" for _ in range(40)) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(t.split()[5:25])) for i, t in enumerate(texts)], "item_id long, item_text string")
+    whole = sorted(map(tuple, leak.leaks(docs, "doc_id", "text", items, "item_id", "item_text").collect()))
+    monkeypatch.setattr(leak, "CHUNK_WORDS", 100)
+    assert sorted(map(tuple, leak.leaks(docs, "doc_id", "text", items, "item_id", "item_text").collect())) == whole and len(whole) >= 30
+
+
 # ---- subjects ----
 
 
