@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators.incremental import publish
 from tessera.tables import blank
 
 
@@ -188,11 +189,7 @@ class VersionedTable:
         name = f"v{number}-{uuid.uuid4().hex}"
         w = state.write.partitionBy(*partition_by) if partition_by else state.write
         w.parquet(f"{self.folder}/{name}")
-        staged, final = self._path(f"{self.folder}/.{name}"), self._path(f"{self.folder}/current-{number}")
-        out = self._fs.create(staged, False)
-        out.write(bytearray(name.encode()))
-        out.close()
-        if self._fs.exists(final) or not self._fs.rename(staged, final):
+        if not publish(self.spark, name, self.folder, f"current-{number}"):
             raise RuntimeError(f"another writer has made version {number}")
         return number
 

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.hierarchy import descendant_counts, descendants, parent_links, solve_forest
-from tessera.operators.incremental import changed_files
+from tessera.operators.incremental import CommitLog, next_files, take_up
 from tessera.operators.keycounts import dense_key_results, heavy_keys
 from tessera.operators.orphans import orphan_references, orphan_report
-from tessera.session import materialize
+from tessera.session import materialize, scratch_dir
 from tessera.tables import micros, table
 
 
+#: Ends of the first two of three runs over the hash log; the third takes the rest.
+THREE_RUNS = ("2025-01-26 12:00:00", "2025-03-23 00:00:00")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     out = []
     for t, key, one_in in (("relationships", "to_fqn", 100), ("code_symbols", "repo_id", 20)):
@@ -32,7 +38,23 @@ def p3_key_results(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return changed_files(table(spark, d, "file_hashes"), table(spark, d, "index_runs"))
+    return next_files(table(spark, d, "file_hashes"), table(spark, d, "index_runs"), scratch_dir(spark, "runs"))
+
+
+def p5_three_runs(spark: SparkSession, d: str) -> DataFrame:
+    """What three runs take up, each from where the one before has committed; the second dies once before its commit and is run again."""
+    source = table(spark, d, "file_hashes")
+    log = CommitLog(spark, scratch_dir(spark, "runs"))
+    limits = [dt.datetime.fromisoformat(t) for t in THREE_RUNS]
+    done = []
+    for n, upto in enumerate([*limits, None]):
+        if n == 1:
+            try:
+                take_up(log, source, upto, fail_before_commit=True)
+            except RuntimeError:
+                pass
+        done.append(log.table("output", take_up(log, source, upto)).withColumn("run", F.lit(n)))
+    return done[0].unionByName(done[1]).unionByName(done[2])
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +79,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return orphan_report(table(spark, d, "relationships"), table(spark, d, "code_symbols"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_key_results, p5_found, p6_found, p6_tree, p6_descendants, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_key_results, p5_found, p5_three_runs, p6_found, p6_tree, p6_descendants, p7_found, p7_report)}
 
 _ENDS = """
 ends AS (
@@ -113,6 +135,15 @@ told AS (
     arg_max(h, (indexed_at, received_at, row_id)) FILTER (WHERE received_at < low) AS then_h
   FROM log l LEFT JOIN mark m ON m.repo_id = l.repo_id GROUP BY l.repo_id, l.file_path)
 SELECT repo_id, file_path FROM told WHERE then_h IS NULL OR now_h <> then_h""",
+    "p5_three_runs": f"""
+WITH log AS (
+  SELECT repo_id, replace(file_path, '\\', '/') AS file_path, upper(trim(content_hash)) AS h, indexed_at, received_at, row_id
+  FROM file_hashes WHERE trim(content_hash) <> ''),
+lim AS (SELECT 0 AS run, TIMESTAMP '{THREE_RUNS[0]}' AS upto, NULL::TIMESTAMP AS low UNION ALL SELECT 1, TIMESTAMP '{THREE_RUNS[1]}', TIMESTAMP '{THREE_RUNS[0]}' UNION ALL SELECT 2, TIMESTAMP '9999-01-01', TIMESTAMP '{THREE_RUNS[1]}'),
+told AS (
+  SELECT run, repo_id, file_path, arg_max(h, (indexed_at, received_at, row_id)) AS now_h, arg_max(h, (indexed_at, received_at, row_id)) FILTER (WHERE received_at <= low) AS then_h
+  FROM log, lim WHERE received_at <= upto GROUP BY ALL)
+SELECT CAST(run AS INTEGER) AS run, repo_id, file_path FROM told WHERE then_h IS NULL OR now_h <> then_h""",
     "p6_found": f"""
 WITH RECURSIVE {_FOREST}
 SELECT n.node AS fqn, coalesce(t.root, '') AS root_fqn, CAST(coalesce(t.depth, -1) AS INTEGER) AS node_depth FROM nodes n LEFT JOIN tree t ON t.node = n.node""",

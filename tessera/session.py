@@ -73,6 +73,13 @@ def _sweep() -> None:
         _delete(spark, path)
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder, deleted when the process ends."""
+    path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back.
 
@@ -81,9 +88,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     deleted when the process ends or by :func:`release`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    path = scratch_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
     back = spark.read.schema(df.schema).parquet(path)
     back._tessera_path = path
     return back

@@ -81,7 +81,7 @@ def _runs(spark, *rows):
     return spark.createDataFrame(list(rows), "run_id long, repo_id string, started_at timestamp_ntz, finished_at timestamp_ntz, run_status string")
 
 
-def test_changed_files(spark):
+def test_changed_files(spark, tmp_path):
     runs = _runs(spark, (1, "r", T0, None, "succeeded"), (1, "r", T0, None, "succeeded"), (2, "r", T0 + 9 * DAY, None, "failed"), (3, "s", None, None, "succeeded"), (4, "s", T0, None, None))
     before, after = T0 - DAY, T0 + DAY
     log = _log(
@@ -95,15 +95,34 @@ def test_changed_files(spark):
         (11, "first.py", "s", "GG", before, before), (12, "other.py", None, "HH", before, before),
         (13, "back.py", "r", "AA", before, before), (14, "back.py", "r", "BB", T0, after), (15, "back.py", "r", "AA", after, after),
     )
-    got = sorted((r[0] or "", r[1]) for r in I.changed_files(log, runs).collect())
+    got = sorted((r[0] or "", r[1]) for r in I.next_files(log, runs, f"{tmp_path}/a").collect())
     assert got == [("", "other.py"), ("r", "changed.py"), ("r", "edge.py"), ("r", "new/file.py"), ("s", "first.py")]
-    assert I.changed_files(log.limit(0), runs).count() == 0
-    assert I.changed_files(log.withColumn("low", F.lit(1)), runs.limit(0)).count() > 0
+    assert I.next_files(log, runs, f"{tmp_path}/a").count() == 0  # that run is committed, nothing came since
+    assert I.next_files(log.limit(0), runs, f"{tmp_path}/b").count() == 0
+    assert I.next_files(log.withColumn("low", F.lit(1)).withColumn("_done", F.lit(1)), runs.limit(0), f"{tmp_path}/c").count() > 0
+
+
+def test_runs_take_up_each_change_once(spark, tmp_path):
+    """State is kept with the watermark: a run that dies repeats nothing and skips nothing, rows after its upper limit wait, late rows count."""
+    rows = [
+        (1, "a", "r", "A", T0, T0), (2, "b", "r", "B", T0 + DAY, T0 + DAY), (3, "a", "r", "A2", T0 + DAY, T0 + DAY), (4, "a", "r", "OLD", T0 - DAY, T0 + 2 * DAY), (5, "c", None, "C", T0, T0 + 2 * DAY),
+        (6, "b", "r", "b ", T0 + 3 * DAY, T0 + 3 * DAY), (7, "d", "new", "D", T0, T0 + 3 * DAY), (8, "n", "r", "N", T0, None),
+    ]
+    df = _log(spark, *rows)
+    log = I.CommitLog(spark, f"{tmp_path}/log")
+    out = lambda c: sorted((r[0] or "", r[1]) for r in log.table("output", c).collect())
+    assert out(I.take_up(log, df, T0)) == [("r", "a"), ("r", "n")]
+    with pytest.raises(RuntimeError):
+        I.take_up(log, df, T0 + DAY, fail_before_commit=True)
+    assert out(I.take_up(log, df, T0 + DAY)) == [("r", "a"), ("r", "b")]
+    assert out(I.take_up(log, df, T0 + 2 * DAY)) == [("", "c")]
+    assert out(I.take_up(log, df)) == [("new", "d")]
+    assert out(I.take_up(log, df)) == [] and log.last()["number"] == 4
 
 
-def test_changed_files_have_an_upper_limit(spark):
-    log = _log(spark, (1, "a", "r", "A", T0, T0), (2, "b", "r", "B", T0 + DAY, T0 + DAY))
-    assert [r[1] for r in I.changed_files(log, _runs(spark, (1, "x", T0, T0, "failed")), high=T0).collect()] == ["a"]
+def test_publish_refuses_to_overwrite(spark, tmp_path):
+    assert I.publish(spark, "one", str(tmp_path), "x") and not I.publish(spark, "two", str(tmp_path), "x")
+    assert (tmp_path / "x").read_text() == "one" and [p.name for p in tmp_path.iterdir() if "x" in p.name and not p.name.endswith(".crc")] == ["x"]
 
 
 def test_commit_log_neither_skips_nor_repeats(spark, tmp_path):
