@@ -15,43 +15,61 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.session import bounded, materialize
+from tessera.session import bounded, is_small, materialize
 from tessera.tables import blank
 
-#: Levels after which a traversal writes its state, so that the plan stays short.
+#: Levels after which a traversal writes what it has seen, so that the plan stays short.
 CUT_EVERY = 4
 
 
+def typed_edges(edges: DataFrame, *types: str) -> DataFrame:
+    """from_fqn, to_fqn, type of the edges with both ends, of the given types if any are given; repeated ones stay."""
+    e = edges.where(F.col("type").isin(*types)) if types else edges
+    return e.where(~blank("from_fqn") & ~blank("to_fqn")).select("from_fqn", "to_fqn", "type")
+
+
 def clean_edges(edges: DataFrame, *types: str) -> DataFrame:
     """Distinct from_fqn, to_fqn, type with both ends; of the given types only, if any are given."""
-    e = edges.where(F.col("type").isin(*types)) if types else edges
-    return e.where(~blank("from_fqn") & ~blank("to_fqn")).select("from_fqn", "to_fqn", "type").distinct()
+    return typed_edges(edges, *types).distinct()
 
 
-def closure(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
-    """fqn and dist of every node at 1 to ``depth`` steps from the seeds (column fqn), the shortest counted.
+def steps(edges: DataFrame, branch: int = 0, reverse: bool = False) -> DataFrame:
+    """The edges as steps of a walk: branch, _at, fqn."""
+    here, there = ("to_fqn", "from_fqn") if reverse else ("from_fqn", "to_fqn")
+    return edges.select(F.lit(branch).alias("branch"), F.col(here).alias("_at"), F.col(there).alias("fqn"))
+
 
-    A seed is in the result if a path of positive length leads back to it. Each
-    level joins the frontier with the edges, which are not repeated, and drops
-    what was seen before; a frontier proved small is broadcast.
+def walks(ways: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """branch, fqn and dist of every node at 1 to ``depth`` steps from the seeds (branch, fqn), the shortest counted.
+
+    ``ways``: see :func:`steps`; walks of different branches never mix but
+    advance together. A seed is in the result if a path of positive length leads
+    back to it. Each level joins the frontier with the ways, in which repeated
+    edges need not be merged, and drops what was seen before; a frontier proved
+    small is broadcast, so a level is one scan and no shuffle of the edges.
     """
-    here, there = ("to_fqn", "from_fqn") if reverse else ("from_fqn", "to_fqn")
-    steps = edges.select(F.col(here).alias("_at"), F.col(there).alias("fqn"))
-    frontier = seeds.select(F.col("fqn").alias("_at")).distinct()
+    frontier = seeds.select("branch", F.col("fqn").alias("_at")).distinct()
+    small = is_small(frontier)
     seen: DataFrame | None = None
     for level in range(1, max(1, depth) + 1):
-        found = steps.join(bounded(frontier), "_at").select("fqn").distinct()
+        found = ways.join(F.broadcast(frontier) if small else frontier, ["branch", "_at"]).select("branch", "fqn").distinct()
         if seen is not None:
-            found = found.join(seen.select("fqn"), "fqn", "left_anti")
+            found = found.join(seen.select("branch", "fqn"), ["branch", "fqn"], "left_anti")
         found = materialize(found, f"level-{level}")
-        if found.limit(1).count() == 0:
-            break
         new = found.withColumn("dist", F.lit(level))
         seen = new if seen is None else seen.unionByName(new)
+        if level == depth or found.limit(1).count() == 0:
+            break
         if level % CUT_EVERY == 0:
             seen = materialize(seen, f"seen-{level}")
-        frontier = found.select(F.col("fqn").alias("_at"))
-    return seen if seen is not None else seeds.select("fqn", F.lit(1).alias("dist")).limit(0)
+        frontier = found.select("branch", F.col("fqn").alias("_at"))
+        small = is_small(frontier)
+    return seen
+
+
+def closure(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
+    """fqn and dist of every node at 1 to ``depth`` steps from the seeds (column fqn), see :func:`walks`."""
+    return walks(steps(edges, 0, reverse), seeds.select(F.lit(0).alias("branch"), "fqn"), depth).select("fqn", "dist")
 
 
 def seeds_of(nodes: DataFrame, where: Column) -> DataFrame:
@@ -88,7 +106,7 @@ def _ends_matching(edges: DataFrame, column: str, match: Column) -> DataFrame:
 def callers(edges: DataFrame, nodes: DataFrame, fqn: str, depth: int = 1) -> DataFrame:
     """G1: fqn, branch (0 direct, 1 through an interface), dist of the callers of a method within 1 to 5 steps."""
     depth = max(1, min(5, depth))
-    calls = clean_edges(edges, "Calls")
+    calls = typed_edges(edges, "Calls")
     direct = closure(calls, _ends_matching(calls, "to_fqn", X.matches_member("to_fqn", fqn)), depth, reverse=True)
     via = interface_callers(edges, nodes, fqn)
     both = direct.withColumn("branch", F.lit(0)).unionByName(via.select("fqn", F.lit(1).alias("dist"), F.lit(1).alias("branch")))
@@ -100,8 +118,8 @@ def interface_callers(edges: DataFrame, nodes: DataFrame, fqn: str) -> DataFrame
     name, owner = _split_member(fqn)
     if not name or not owner:
         return edges.select(F.col("from_fqn").alias("fqn")).limit(0)
-    ifaces = clean_edges(edges, "Implements").where(F.col("from_fqn").contains(owner)).select(F.col("to_fqn").alias("iface")).distinct()
-    calls = clean_edges(edges, "Calls").where(X.method_name("to_fqn") == name)
+    ifaces = typed_edges(edges, "Implements").where(F.col("from_fqn").contains(owner)).select(F.col("to_fqn").alias("iface")).distinct()
+    calls = typed_edges(edges, "Calls").where(X.method_name("to_fqn") == name)
     hit = calls.join(bounded(ifaces), F.col("to_fqn").contains(F.col("iface")) & ~F.col("from_fqn").contains(F.col("iface")))
     return hit.select(F.col("from_fqn").alias("fqn")).distinct()
 
@@ -114,47 +132,50 @@ def _split_member(fqn: str) -> tuple[str, str]:
 
 def callees(edges: DataFrame, fqn: str, depth: int = 1) -> DataFrame:
     """Fqn, dist of what a method calls within 1 to 5 steps, without framework noise."""
-    calls = clean_edges(edges, "Calls")
+    calls = typed_edges(edges, "Calls")
     out = closure(calls, _ends_matching(calls, "from_fqn", X.matches_member("from_fqn", fqn)), max(1, min(5, depth)))
     return out.where(~X.is_noise("fqn"))
 
 
 def dependencies(edges: DataFrame, fqn: str, depth: int = 1) -> DataFrame:
     """Fqn, branch, dist over DependsOn, then UsesType, then References, never mixed on a path; 1 to 3 steps."""
-    parts = []
-    for i, kind in enumerate(("DependsOn", "UsesType", "References")):
-        e = clean_edges(edges, kind)
-        parts.append(closure(e, _ends_matching(e, "from_fqn", F.col("from_fqn") == fqn), max(1, min(3, depth))).withColumn("branch", F.lit(i)))
-    out = first_by(reduce(DataFrame.unionByName, parts), "fqn", F.col("branch"), F.col("dist"))
-    return out.where(~X.is_noise("fqn"))
+    e = typed_edges(edges, "DependsOn", "UsesType", "References")
+    branch = F.when(F.col("type") == "DependsOn", 0).when(F.col("type") == "UsesType", 1).otherwise(2)
+    ways = e.select(branch.alias("branch"), F.col("from_fqn").alias("_at"), F.col("to_fqn").alias("fqn"))
+    out = walks(ways, _branches(edges, fqn, 3), max(1, min(3, depth)))
+    return first_by(out, "fqn", F.col("branch"), F.col("dist")).where(~X.is_noise("fqn"))
+
+
+def _branches(edges: DataFrame, fqn: str, n: int) -> DataFrame:
+    """One seed for each of ``n`` branches."""
+    return edges.sparkSession.range(n).select(F.col("id").cast("int").alias("branch"), F.lit(fqn).alias("fqn"))
 
 
 def referenced_by(edges: DataFrame, fqn: str, depth: int = 1) -> DataFrame:
     """Fqn, dist of what refers to a symbol."""
-    e = clean_edges(edges, "References")
+    e = typed_edges(edges, "References")
     return closure(e, _ends_matching(e, "to_fqn", F.col("to_fqn") == fqn), depth, reverse=True)
 
 
 def implementations(edges: DataFrame, fqn: str) -> DataFrame:
     """Fqn of the direct implementations of an interface or its generic forms."""
-    e = clean_edges(edges, "Implements")
+    e = typed_edges(edges, "Implements")
     return _ends_matching(e, "from_fqn", X.matches_generic("to_fqn", fqn))
 
 
 def class_hierarchy(edges: DataFrame, fqn: str, depth: int = 10) -> DataFrame:
     """Fqn, branch, dist: ancestors, descendants, interfaces, implementors, then the class itself (dist 0)."""
-    parts = []
-    for i, (kind, reverse) in enumerate((("Inherits", False), ("Inherits", True), ("Implements", False), ("Implements", True))):
-        e = clean_edges(edges, kind)
-        at = "to_fqn" if reverse else "from_fqn"
-        parts.append(closure(e, _ends_matching(e, at, F.col(at) == fqn), depth, reverse).withColumn("branch", F.lit(i)))
-    own = edges.sparkSession.range(1).select(F.lit(fqn).alias("fqn"), F.lit(0).alias("dist"), F.lit(4).alias("branch"))
-    return first_by(reduce(DataFrame.unionByName, [*parts, own]), "fqn", F.col("branch"), F.col("dist"))
+    e = typed_edges(edges, "Inherits", "Implements")
+    up = F.when(F.col("type") == "Inherits", 0).otherwise(2)
+    both = F.array(F.struct(up.alias("branch"), F.col("from_fqn").alias("_at"), F.col("to_fqn").alias("fqn")), F.struct((up + 1).alias("branch"), F.col("to_fqn").alias("_at"), F.col("from_fqn").alias("fqn")))
+    ways = e.select(F.explode(both).alias("w")).select("w.*")
+    own = edges.sparkSession.range(1).select(F.lit(4).alias("branch"), F.lit(fqn).alias("fqn"), F.lit(0).alias("dist"))
+    return first_by(walks(ways, _branches(edges, fqn, 4), depth).unionByName(own), "fqn", F.col("branch"), F.col("dist"))
 
 
 def test_coverage(edges: DataFrame, fqn: str) -> DataFrame:
     """Fqn of the tests that cover a symbol or a member of it."""
-    e = clean_edges(edges, "TestCovers")
+    e = typed_edges(edges, "TestCovers")
     return _ends_matching(e, "from_fqn", X.covers_member("to_fqn", fqn))
 
 
@@ -168,8 +189,8 @@ def data_flow(edges: DataFrame, nodes: DataFrame, route: str) -> DataFrame:
     """Fqn, branch (0 handlers, 1 downstream), dist: up to 20 endpoints that contain the route, their handlers, three steps of calls."""
     part = route.strip().lstrip("/").lower()
     eps = nodes.where((F.lower("kind") == "api_endpoint") & F.lower("fqn").contains(part)).select(F.col("fqn").alias("from_fqn")).distinct().orderBy("from_fqn").limit(20)
-    handlers = materialize(clean_edges(edges, "HandledBy").join(F.broadcast(eps), "from_fqn").select(F.col("to_fqn").alias("fqn")).distinct(), "handlers")
-    down = closure(clean_edges(edges, "Calls"), handlers, 3)
+    handlers = materialize(typed_edges(edges, "HandledBy").join(F.broadcast(eps), "from_fqn").select(F.col("to_fqn").alias("fqn")).distinct(), "handlers")
+    down = closure(typed_edges(edges, "Calls"), handlers, 3)
     both = handlers.select("fqn", F.lit(0).alias("dist"), F.lit(0).alias("branch")).unionByName(down.withColumn("branch", F.lit(1)))
     return first_by(both, "fqn", F.col("branch"), F.col("dist")).where(~X.is_noise("fqn"))
 
@@ -187,7 +208,7 @@ def config_usage(edges: DataFrame, key: str | None = None) -> DataFrame:
 
 def mapped_entities(edges: DataFrame) -> DataFrame:
     """Fqn, branch: targets of MapsTo, then of Configures."""
-    e = clean_edges(edges, "MapsTo", "Configures")
+    e = typed_edges(edges, "MapsTo", "Configures")
     return e.groupBy(F.col("to_fqn").alias("fqn")).agg(F.min(F.when(F.col("type") == "MapsTo", 0).otherwise(1)).alias("branch"))
 
 
@@ -202,7 +223,7 @@ def api_endpoints(nodes: DataFrame, module: str | None = None, limit: int = 500)
 
 def used_targets(edges: DataFrame) -> DataFrame:
     """Fqn of everything that is called, handles, subscribes or is covered by a test."""
-    return clean_edges(edges, "Calls", "HandledBy", "Subscribes", "TestCovers").select(F.col("to_fqn").alias("fqn")).distinct()
+    return typed_edges(edges, "Calls", "HandledBy", "Subscribes", "TestCovers").select(F.col("to_fqn").alias("fqn")).distinct()
 
 
 def override_methods(edges: DataFrame) -> DataFrame:
@@ -210,18 +231,20 @@ def override_methods(edges: DataFrame) -> DataFrame:
 
     The base of an Inherits edge may be a bare name; it is compared as such and by its last segment.
     """
-    has = clean_edges(edges, "HasMethod").select(F.col("from_fqn").alias("owner"), F.col("to_fqn").alias("fqn"), X.method_name("to_fqn").alias("name"))
-    up = clean_edges(edges, "Inherits").select(F.col("from_fqn").alias("child"), F.col("to_fqn").alias("base"), F.substring_index("to_fqn", ".", -1).alias("base_name"))
-    child = has.select(F.col("owner").alias("child"), F.col("fqn").alias("child_fqn"), "name").join(up, "child")
-    base = has.select(F.col("owner").alias("base_owner"), F.substring_index("owner", ".", -1).alias("base_name"), F.col("fqn").alias("base_fqn"), "name")
-    pairs = child.join(base, ["base_name", "name"]).where((F.col("base") == F.col("base_owner")) | (F.col("base") == F.col("base_name")))
-    return pairs.select(F.explode(F.array("child_fqn", "base_fqn")).alias("fqn")).distinct()
+    last = lambda c: F.substring_index(c, ".", -1)
+    has = typed_edges(edges, "HasMethod").select(F.col("from_fqn").alias("owner"), F.col("to_fqn").alias("fqn"), X.method_name("to_fqn").alias("name")).distinct()
+    up = typed_edges(edges, "Inherits").select(F.col("from_fqn").alias("owner"), F.col("to_fqn").alias("base")).distinct()
+    child = has.join(up, "owner").select(F.col("base").alias("key"), "name", "fqn")
+    base = has.select(F.explode(F.array_distinct(F.array("owner", last("owner")))).alias("key"), "name", "fqn")
+    # no method is ever paired with another: each side is asked whether the other has its key
+    sides = [a.join(b.select("key", "name").distinct(), ["key", "name"], "left_semi").select("fqn") for a, b in ((child, base), (base, child))]
+    return sides[0].unionByName(sides[1]).distinct()
 
 
 def protocol_methods(edges: DataFrame) -> DataFrame:
     """Fqn of methods with the name of a method of a type that inherits from Protocol."""
-    has = clean_edges(edges, "HasMethod").select(F.col("from_fqn").alias("owner"), F.col("to_fqn").alias("fqn"), X.method_name("to_fqn").alias("name"))
-    protocols = clean_edges(edges, "Inherits").where(F.substring_index("to_fqn", ".", -1) == "Protocol").select(F.col("from_fqn").alias("owner")).distinct()
+    has = typed_edges(edges, "HasMethod").select(F.col("from_fqn").alias("owner"), F.col("to_fqn").alias("fqn"), X.method_name("to_fqn").alias("name"))
+    protocols = typed_edges(edges, "Inherits").where(F.substring_index("to_fqn", ".", -1) == "Protocol").select(F.col("from_fqn").alias("owner")).distinct()
     names = has.join(protocols, "owner", "left_semi").select("name").distinct()
     return has.join(names, "name", "left_semi").select("fqn").distinct()
 
@@ -431,8 +454,8 @@ def edges_inside(edges: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def neighbors(edges: DataFrame, fqn: str, depth: int = 1) -> DataFrame:
     """Fqn, dist of nodes within 1 to 3 steps in either direction, without the centre."""
-    e = clean_edges(edges).select("from_fqn", "to_fqn")
-    both = e.unionByName(e.select(F.col("to_fqn").alias("from_fqn"), F.col("from_fqn").alias("to_fqn")))
+    ends = F.array(F.struct("from_fqn", "to_fqn"), F.struct(F.col("to_fqn").alias("from_fqn"), F.col("from_fqn").alias("to_fqn")))
+    both = typed_edges(edges).select(F.explode(ends).alias("e")).select("e.*")
     start = edges.sparkSession.range(1).select(F.lit(fqn).alias("fqn"))
     return closure(both, start, max(1, min(3, depth))).where(F.col("fqn") != fqn)
 

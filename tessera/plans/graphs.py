@@ -207,22 +207,54 @@ def j05_used_targets(spark, d):
     return G.used_targets(edges(spark, d))
 
 
-@_q(f"WITH {LIVE}, {_ALIVE} SELECT fqn FROM over")
+#: Edges that the fixed tables lack, added to theirs: overrides by full and bare name of the base, a protocol, and a ring of DependsOn.
+MORE_EDGES = (
+    ("fx.Base", "fx.Base.fetch", "HasMethod"), ("fx.Rss", "fx.Rss.fetch", "HasMethod"), ("fx.Rss", "fx.Base", "Inherits"), ("fx.Atom", "fx.Atom.fetch(int)", "HasMethod"), ("fx.Atom", "Base", "Inherits"),
+    ("fx.Base", "fx.Base.alone", "HasMethod"), ("fx.Rss", "fx.Rss.orphan", "HasMethod"), ("fx.Adapter", "Protocol", "Inherits"), ("fx.Adapter", "fx.Adapter.pull", "HasMethod"), ("fx.Feed", "fx.Feed.pull", "HasMethod"),
+)
+#: Lengths of rings of DependsOn edges, added as well.
+RINGS = (2, 3, 12)
+
+
+def more_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The edges with :data:`MORE_EDGES` and :data:`RINGS`."""
+    rings = [(f"fx.Ring{n}.C{i}", f"fx.Ring{n}.C{(i + 1) % n}", "DependsOn") for n in RINGS for i in range(n)]
+    return edges(spark, d).unionByName(spark.createDataFrame([*MORE_EDGES, *rings], "from_fqn string, to_fqn string, type string"))
+
+
+_MORE = f"""
+more AS (
+  SELECT from_fqn, to_fqn, type FROM relationships UNION ALL SELECT * FROM (VALUES {", ".join(str(x) for x in MORE_EDGES)})
+  UNION ALL SELECT 'fx.Ring' || n || '.C' || i, 'fx.Ring' || n || '.C' || ((i + 1) % n), 'DependsOn' FROM (SELECT n, unnest(range(n)) AS i FROM (VALUES {", ".join(f"({n})" for n in RINGS)}) v(n))),
+e AS (SELECT DISTINCT from_fqn, to_fqn, type FROM more WHERE trim(from_fqn) <> '' AND trim(to_fqn) <> '')
+"""
+
+
+@_q(f"WITH {_MORE}, {_ALIVE} SELECT fqn FROM over")
 def j06_j07_overrides(spark, d):
-    return G.override_methods(edges(spark, d))
+    return G.override_methods(more_edges(spark, d))
 
 
-@_q(f"WITH {LIVE}, {_ALIVE} SELECT DISTINCT fqn FROM proto")
+@_q(f"WITH {_MORE}, {_ALIVE} SELECT DISTINCT fqn FROM proto")
 def j08_protocol(spark, d):
-    return G.protocol_methods(edges(spark, d))
+    return G.protocol_methods(more_edges(spark, d))
 
 
-@_q(f"""
-WITH RECURSIVE {LIVE}, k AS (SELECT from_fqn, to_fqn FROM e WHERE type = 'Inherits'),
-w AS (SELECT from_fqn AS s, to_fqn AS t, 1 AS n FROM k UNION SELECT w.s, k.to_fqn, w.n + 1 FROM w JOIN k ON k.from_fqn = w.t WHERE w.n < 10)
-SELECT DISTINCT s AS fqn FROM w WHERE s = t""")
+def _cycle_sql(kind: str) -> str:
+    return f"""
+WITH RECURSIVE {_MORE}, k AS (SELECT from_fqn, to_fqn FROM e WHERE type = '{kind}'),
+w AS (SELECT from_fqn AS s, to_fqn AS t FROM k UNION SELECT w.s, k.to_fqn FROM w JOIN k ON k.from_fqn = w.t)
+SELECT DISTINCT s AS fqn FROM w WHERE s = t"""
+
+
+@_q(_cycle_sql("DependsOn"))
 def g15_on_cycle(spark, d):
-    return G.on_cycle(edges(spark, d), "Inherits")
+    return G.on_cycle(more_edges(spark, d), "DependsOn")
+
+
+@_q(_cycle_sql("Inherits"))
+def g15_on_cycle_inherits(spark, d):
+    return G.on_cycle(more_edges(spark, d), "Inherits")
 
 
 @_q("")
@@ -274,10 +306,30 @@ def g23_degrees(spark, d):
     return G.degrees(edges(spark, d))
 
 
-@_q("WITH " + LIVE + """, p AS (SELECT fqn, file_path, start_line, name FROM live WHERE lower(kind) = 'method' ORDER BY name, fqn LIMIT 100)
-SELECT fqn, file_path, row_number() OVER w AS place, lead(fqn) OVER w AS next_fqn FROM p WINDOW w AS (PARTITION BY file_path ORDER BY start_line NULLS FIRST, fqn)""")
+#: Middleware symbols, which the fixed tables lack: fqn, name, file, line.
+MIDDLEWARE = (("fx.UseAuth", "UseAuth", "src/Program.cs", 12), ("fx.UseCors", "UseCors", "src/Program.cs", 9), ("fx.UseRouting", "UseRouting", "src/Program.cs", 15), ("fx.UseLog", "UseLog", "src/Other.cs", 3), ("fx.UseNone", "UseNone", "src/Other.cs", None))
+
+
+def _pipeline_sql(kind: str) -> str:
+    rows = ", ".join(f"('{a}', '{b}', 'middleware', '{c}', {n if n is not None else 'NULL'})" for a, b, c, n in MIDDLEWARE)
+    return f"""WITH {LIVE}, s AS (SELECT fqn, name, kind, file_path, start_line FROM live UNION ALL SELECT * FROM (VALUES {rows})),
+p AS (SELECT fqn, file_path, start_line, name FROM s WHERE lower(kind) = '{kind}' ORDER BY name, fqn LIMIT 100)
+SELECT fqn, file_path, row_number() OVER w AS place, lead(fqn) OVER w AS next_fqn FROM p WINDOW w AS (PARTITION BY file_path ORDER BY start_line NULLS FIRST, fqn)"""
+
+
+def _with_middleware(spark: SparkSession, d: str) -> DataFrame:
+    more = spark.createDataFrame(list(MIDDLEWARE), "fqn string, name string, file_path string, start_line int").withColumn("kind", F.lit("middleware"))
+    return symbols(spark, d).select("fqn", "name", "kind", "file_path", "start_line").unionByName(more)
+
+
+@_q(_pipeline_sql("middleware"))
 def g22_pipeline(spark, d):
-    return G.pipeline(symbols(spark, d))
+    return G.pipeline(_with_middleware(spark, d), "middleware")
+
+
+@_q(_pipeline_sql("method"))
+def g22_first_methods(spark, d):
+    return G.pipeline(_with_middleware(spark, d), "method")
 
 
 @_q(f"""WITH {LIVE}, x AS (SELECT {_busiest_sql('HasMethod', 'to_fqn')} AS f)
@@ -306,19 +358,34 @@ def j09_edges_inside(spark, d):
     return G.edges_inside(edges(spark, d), symbols(spark, d))
 
 
-def _selected(name: str, match, sql: str) -> None:
-    """Predicates P1 to P4, P10, P12 on edge targets, for the busiest type's owner."""
+def _selected(name: str, match, sql: str, start=None, start_sql: str = "") -> None:
+    """Predicates P1 to P4, P10, P12 on edge targets, for the busiest type's owner or another start."""
 
     def run(spark, d):
-        f = _class_of(spark, d)
+        f = (start or _class_of)(spark, d)
         return G.clean_edges(edges(spark, d)).select(F.col("to_fqn").alias("fqn")).distinct().where(match(f))
 
     QUERIES[name] = run
-    ORACLE[name] = f"WITH {LIVE}, x AS (SELECT {_busiest_sql('HasMethod', 'to_fqn')} AS f), y AS (SELECT {_CLASS} AS c) SELECT DISTINCT to_fqn AS fqn FROM e, y WHERE {sql}"
+    first = start_sql or f"SELECT {_CLASS} AS c"
+    ORACLE[name] = f"WITH {LIVE}, x AS (SELECT {_busiest_sql('HasMethod', 'to_fqn')} AS f), y AS ({first}) SELECT DISTINCT to_fqn AS fqn FROM e, y WHERE {sql}"
+
+
+def _first_cut(mark: str):
+    """The fqn before ``mark`` in the smallest edge target that has one: a start that its parametrised forms match."""
+
+    def run(spark, d) -> str:
+        r = G.typed_edges(edges(spark, d)).where(F.col("to_fqn").contains(mark) & ~F.col("to_fqn").startswith(mark)).agg(F.min("to_fqn")).first()[0]
+        return r.split(mark)[0] if r else ""
+
+    return run
+
+
+def _first_cut_sql(mark: str) -> str:
+    return f"SELECT split_part(min(to_fqn), '{mark}', 1) AS c FROM e WHERE instr(to_fqn, '{mark}') > 1"
 
 
-_selected("sel01_member_match", lambda f: X.matches_member("fqn", f), "to_fqn = c OR starts_with(to_fqn, c || '(')")
-_selected("sel02_generic_match", lambda f: X.matches_generic("fqn", f), "to_fqn = c OR starts_with(to_fqn, c || '<')")
+_selected("sel01_member_match", lambda f: X.matches_member("fqn", f), "to_fqn = c OR starts_with(to_fqn, c || '(')", _first_cut("("), _first_cut_sql("("))
+_selected("sel02_generic_match", lambda f: X.matches_generic("fqn", f), "to_fqn = c OR starts_with(to_fqn, c || '<')", _first_cut("<"), _first_cut_sql("<"))
 _selected("sel03_covers_match", lambda f: X.covers_member("fqn", f), "to_fqn = c OR starts_with(to_fqn, c || '.') OR starts_with(to_fqn, c || '(')")
 _selected("sel04_substring", lambda f: F.col("fqn").contains("Shared."), "contains(to_fqn, 'Shared.')")
 _selected("sel10_narrow_noise", lambda f: ~(F.col("fqn").startswith("System.") | F.col("fqn").startswith("Microsoft.")), "NOT starts_with(to_fqn, 'System.') AND NOT starts_with(to_fqn, 'Microsoft.')")

@@ -89,11 +89,8 @@ def r01_tiered_substring(spark, d):
     return L.tiered_search(symbols(spark, d), SUBSTRING)
 
 
-_SENTENCE = "regexp_extract(text, '^([^\\r\\n]*)', 1)"
-
-
 _STOP = ", ".join(f"'{w}'" for w in L.STOP_WORDS)
-_TOK = f"list_filter(regexp_split_to_array({_SENTENCE}, '[\\s,;:()\\[\\]{{}}\"'']+'), lambda t: t <> '')"
+_TOK = f"list_filter(regexp_split_to_array(text, '[\\s,;:()\\[\\]{{}}\"'']+'), lambda t: t <> '')"
 
 
 @_q(f"""WITH x AS (SELECT doc_id, {_TOK} AS tok FROM documents WHERE text IS NOT NULL),
@@ -107,7 +104,7 @@ def r05_split_terms(spark, d):
 _STRUCT = " OR ".join(f"contains(lower(q), '{w}')" for w in L.STRUCTURAL)
 
 
-@_q(f"SELECT doc_id, CASE WHEN {_STRUCT} THEN 'Graph' WHEN contains(q, '.') AND NOT contains(q, ' ') THEN 'Bm25' ELSE 'Hybrid' END AS route FROM (SELECT doc_id, {_SENTENCE} AS q FROM documents WHERE text IS NOT NULL)")
+@_q(f"SELECT doc_id, CASE WHEN {_STRUCT} THEN 'Graph' WHEN contains(q, '.') AND NOT contains(q, ' ') THEN 'Bm25' ELSE 'Hybrid' END AS route FROM (SELECT doc_id, text AS q FROM documents WHERE text IS NOT NULL)")
 def r08_classify(spark, d):
     docs = table(spark, d, "documents").where("text IS NOT NULL")
     return docs.select("doc_id", L.classify_col("text").alias("route"))
@@ -116,7 +113,7 @@ def r08_classify(spark, d):
 _TRIMSET = "[,;:()\\[\\]{}\"''?!]+"
 
 
-@_q(f"""WITH x AS (SELECT doc_id, {_SENTENCE} AS q FROM documents WHERE text IS NOT NULL),
+@_q(f"""WITH x AS (SELECT doc_id, text AS q FROM documents WHERE text IS NOT NULL),
 y AS (SELECT doc_id, q, list_filter(list_transform(list_filter(string_split(q, ' '), lambda t: t <> ''), lambda t: regexp_replace(t, '^{_TRIMSET}|{_TRIMSET}$', '', 'g')),
   lambda t: t <> '' AND (contains(t, '.') OR (regexp_matches(t, '^\\p{{Lu}}') AND regexp_matches(t, '\\p{{Ll}}') AND length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g')) >= 2)
     OR (regexp_matches(t, '^\\p{{Ll}}') AND regexp_matches(t, '\\p{{Lu}}')) OR (regexp_matches(t, '^[\\p{{Lu}}\\p{{Nd}}_]+$') AND length(t) >= 2))) AS k FROM x)
@@ -172,10 +169,10 @@ def r10_hybrid(spark, d):
     return L.rrf(_lists(spark, d), "fqn")
 
 
-@_q("""WITH h AS (SELECT fqn, lower(trim(source)) AS s, score FROM search_results WHERE query_id = (SELECT min(query_id) FROM search_results) AND score IS NOT NULL AND NOT isnan(score)),
-l AS (SELECT fqn, s, row_number() OVER (PARTITION BY s ORDER BY score DESC, fqn) AS r, CASE s WHEN 'vector' THEN 0 WHEN 'bm25' THEN 1 WHEN 'graph' THEN 2 WHEN 'memory' THEN 3 ELSE 4 END AS ord FROM h),
-f AS (SELECT fqn, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score, arg_min(s, (ord, r)) AS source, min(ord) AS ord, arg_min(r, (ord, r)) AS r FROM l GROUP BY fqn)
-SELECT row_number() OVER (ORDER BY score DESC, ord, r, fqn) AS place, fqn, score, source FROM f ORDER BY place LIMIT 20""")
+@_q("""WITH h AS (SELECT query_id, fqn, lower(trim(source)) AS s, score FROM search_results WHERE score IS NOT NULL AND NOT isnan(score)),
+l AS (SELECT query_id, fqn, s, row_number() OVER (PARTITION BY query_id, s ORDER BY score DESC, fqn) AS r, CASE s WHEN 'vector' THEN 0 WHEN 'bm25' THEN 1 WHEN 'graph' THEN 2 WHEN 'memory' THEN 3 ELSE 4 END AS ord FROM h),
+f AS (SELECT query_id, fqn, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score, arg_min(s, (ord, r)) AS source, min(ord) AS ord, arg_min(r, (ord, r)) AS r FROM l GROUP BY query_id, fqn)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord, r, fqn) AS place, fqn, score, source FROM f QUALIFY place <= 20""")
 def r12_rrf(spark, d):
     """R12 as the engine's own fusion has it, for every query_id: an item that one list holds twice adds up."""
     hits = table(spark, d, "search_results").where("score IS NOT NULL AND NOT isnan(score)").withColumn("s", F.lower(F.trim("source")))
