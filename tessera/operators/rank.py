@@ -10,12 +10,15 @@ from tessera.session import materialize
 
 #: Quantile buckets that a group is split into before rows are ordered.
 BUCKETS = 64
+#: Rows that the largest group may have to be ordered by one task.
+WHOLE_ROWS = 100_000
 
 
-def grouped_rank(df: DataFrame, group: list[str], score: str, name: str = "rank", buckets: int = BUCKETS) -> DataFrame:
+def grouped_rank(df: DataFrame, group: list[str], score: str, name: str = "rank", buckets: int = BUCKETS, whole: int = WHOLE_ROWS) -> DataFrame:
     """``df`` with the competition rank of ``score`` (highest first) inside ``group``; equal scores share a rank.
 
-    Exact for groups of any size and skew. Equal scores are first reduced to
+    Exact for groups of any size and skew. If a count proves that no group has
+    more than ``whole`` rows, one window ranks them. Else equal scores are first reduced to
     one row with a count; the distinct scores of a group are cut into quantile
     buckets, and the rank is the number of rows in higher buckets plus the rank
     inside the bucket. So no task orders more than about one bucket of a group,
@@ -23,6 +26,9 @@ def grouped_rank(df: DataFrame, group: list[str], score: str, name: str = "rank"
     ``score`` and the group columns must not be null; repeated rows count. The
     result has the columns of ``df`` and ``name`` (long).
     """
+    largest = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_k")).agg(F.coalesce(F.max("_k"), F.lit(0))).first()[0]
+    if largest <= whole:
+        return df.withColumn(name, F.rank().over(Window.partitionBy(*group).orderBy(F.col(score).desc())).cast("long"))
     of_group, of_tie = F.xxhash64(*group), F.xxhash64(*group, score)
     tied = materialize(df.groupBy(*group, score).agg(F.count(F.lit(1)).alias("_n")).withColumn("_g", of_group).withColumn("_t", of_tie), "ties")
     groups = tied.groupBy("_g").agg(F.count(F.lit(1)).alias("_k"))
@@ -40,3 +46,18 @@ def grouped_rank(df: DataFrame, group: list[str], score: str, name: str = "rank"
     ranks = hot_join(ranks, offsets, [*group, "_g", "_b"], "_g", hot_groups)
     ranks = ranks.select(*group, score, "_t", (F.col("_above") + F.col("_in") + 1).alias(name))
     return hot_join(df.withColumn("_t", of_tie), ranks, [*group, score, "_t"], "_t", hot_ties).drop("_t")
+
+
+def numbered(df: DataFrame, *order: str, name: str = "place") -> DataFrame:
+    """``df`` with its row number in an order of columns, from 1.
+
+    Rows are spread by ranges of the order and counted range by range, so no
+    task holds all rows; the counts, one for each range, meet in one. Equal
+    rows are numbered in any order.
+    """
+    placed = materialize(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "numbered")
+    counts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    upper = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_p", F.coalesce(F.sum("_n").over(upper), F.lit(0)).alias("_before"))
+    local = placed.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    return local.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_i")).drop("_p", "_i", "_before")

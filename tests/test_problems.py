@@ -14,7 +14,7 @@ from tessera.operators import incremental as I
 from tessera.operators import keycounts as K
 from tessera.operators import orphans as O
 from tessera.operators.hotjoin import hot_join
-from tessera.operators.rank import grouped_rank
+from tessera.operators.rank import grouped_rank, numbered
 
 T0 = dt.datetime(2025, 1, 10)
 DAY = dt.timedelta(days=1)
@@ -65,9 +65,16 @@ def test_grouped_rank_equals_rank(spark):
     r = random.Random(3)
     rows = [(g, r.choice([0.0, 1.5, r.random() * 100, float("inf")])) for g in ["a"] * 500 + ["b"] * 3 + ["c"]]
     df = spark.createDataFrame(rows, "g string, s double")
-    got = sorted((x["g"], x["s"], x["rank"]) for x in grouped_rank(df, ["g"], "s", buckets=8).collect())
     want = sorted((g, s, 1 + sum(1 for h, t in rows if h == g and t > s)) for g, s in rows)
-    assert got == want
+    for whole in (0, 100_000):
+        got = sorted((x["g"], x["s"], x["rank"]) for x in grouped_rank(df, ["g"], "s", buckets=8, whole=whole).collect())
+        assert got == want
+
+
+def test_numbered(spark):
+    df = spark.createDataFrame([(f"k{i:03}", i % 7) for i in range(300)], "k string, m int").repartition(5)
+    assert [(r["place"], r["k"]) for r in numbered(df, "k").orderBy("place").collect()] == [(i + 1, f"k{i:03}") for i in range(300)]
+    assert numbered(df.limit(0), "k").count() == 0
 
 
 # ---- incremental ----
