@@ -7,8 +7,12 @@ weights of the fields in which each term occurs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +63,27 @@ def code_tokens_col(query: Column | str) -> Column:
     return F.when(query.contains(" ") & (F.size(kept) > 0), F.array_join(kept, " "))
 
 
+def classify(query: str) -> str:
+    """R8 of one query."""
+    if any(w in query.lower() for w in STRUCTURAL):
+        return "Graph"
+    return "Bm25" if "." in query and " " not in query else "Hybrid"
+
+
+def code_tokens(query: str) -> str | None:
+    """R9 of one query."""
+    marks = ",;:()[]{}\"'?!"
+    has = lambda t, test: any(test(c) for c in t)
+    kept = []
+    for t in (x.strip(marks) for x in query.split(" ")):
+        pascal = t[:1].isupper() and has(t, str.islower) and sum(c.isupper() for c in t) >= 2
+        camel = t[:1].islower() and has(t, str.isupper)
+        caps = len(t) >= 2 and all(c.isupper() or c.isdecimal() or c == "_" for c in t)
+        if t and ("." in t or pascal or camel or caps):
+            kept.append(t)
+    return " ".join(kept) if " " in query and kept else None
+
+
 def words_of(c: Column | str) -> Column:
     """Distinct words of a text, in small letters, without stop words; empty for null."""
     c = F.col(c) if isinstance(c, str) else c
@@ -90,10 +115,14 @@ def and_tier(symbols: DataFrame, query: str) -> DataFrame:
     return _scored(symbols, terms, False).where(F.col("n") == len(terms)).select("fqn", "score")
 
 
+def clean_terms(query: str) -> list[str]:
+    """The sanitized terms of a query in small letters, each once."""
+    return sorted({"".join(c for c in t if c.isascii() and (c.isalnum() or c == "_")).lower() for t in split_terms(query)} - {""})
+
+
 def or_tier(symbols: DataFrame, query: str) -> DataFrame:
     """Fqn, score of the symbols in which any sanitized term begins a word; nothing for a query of one term."""
-    terms = split_terms(query)
-    clean = sorted({"".join(c for c in t if c.isascii() and (c.isalnum() or c == "_")).lower() for t in terms} - {""})
+    terms, clean = split_terms(query), clean_terms(query)
     if len(terms) <= 1 or not clean:
         return symbols.select("fqn", F.lit(0.0).alias("score")).limit(0)
     return _scored(symbols, clean, True).where(F.col("n") > 0).select("fqn", "score")
@@ -146,13 +175,32 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, limit: int = 20, k1:
     return out.orderBy(F.col("score").desc(), key).limit(limit)
 
 
+def cosine_to(vector: Column | str, query: list[float]) -> Column:
+    """cosine similarity of a column of vectors to one vector, by Arrow batches in double precision.
+
+    Null for vectors that are null, of another length, zero, or with a null or a value that is not finite.
+    """
+    q = np.array(query, float)
+    q = q / (np.linalg.norm(q) or np.nan)
+
+    def similarity(v: pa.Array) -> pa.Array:
+        usable = pc.fill_null(pc.equal(pc.list_value_length(v), len(q)), False)
+        x = v.filter(usable).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(q))
+        out = np.full(len(v), np.nan)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out[usable.to_numpy(zero_copy_only=False)] = (x @ q) / np.linalg.norm(x, axis=1)
+        return pa.array(out, mask=~np.isfinite(out))
+
+    return F.arrow_udf(similarity, "double")(vector)
+
+
 def vector_top(vectors: DataFrame, key: str, vector: str, query: list[float], limit: int = 10) -> DataFrame:
-    """Key, score of the rows most similar to one vector by cosine; rows without a usable vector stay out."""
-    q = F.array(*[F.lit(float(v)) for v in query])
-    usable = vectors.where(F.size(vector) == len(query)).select(key, F.transform(vector, lambda v: v.cast("double")).alias("v"))
-    sim = F.round(X.cosine(F.col("v"), q), 6)
-    out = usable.select(key, sim.alias("score")).where(F.col("score").isNotNull() & ~F.isnan("score"))
-    return out.orderBy(F.col("score").desc(), key).limit(limit)
+    """Key, score of the rows most similar to one vector by cosine; rows without a usable vector stay out.
+
+    Every task keeps its own best rows, so no more than ``limit`` of each are merged.
+    """
+    out = vectors.where(F.size(vector) == len(query)).select(key, F.round(cosine_to(vector, query), 6).alias("score"))
+    return out.where(F.col("score").isNotNull()).orderBy(F.col("score").desc(), key).limit(limit)
 
 
 def rrf(lists: dict[str, DataFrame], key: str, limit: int = 20, k: int = 60, by: str | None = None) -> DataFrame:
@@ -173,6 +221,45 @@ def rrf(lists: dict[str, DataFrame], key: str, limit: int = 20, k: int = 60, by:
     return placed.where(F.col("place") <= limit).select(*group, "place", key, "score", "source")
 
 
+def hybrid(
+    symbols: DataFrame,
+    vectors: DataFrame,
+    query: str,
+    embed: Callable[[str], list[float] | None],
+    limit: int = 20,
+    variants: Callable[[str], list[str]] | None = None,
+    hypothetical: Callable[[str], str | None] | None = None,
+) -> DataFrame:
+    """Place, fqn, score, source: lexical and vector hits of a query, fused.
+
+    The lexical side searches the query's code tokens (R9), or all of it where
+    it has none. The vector side embeds the whole query, or the hypothetical
+    document that ``hypothetical`` writes for it (R14; None or a failure leaves
+    the query). ``variants`` gives other phrasings (R13): the first repeats the
+    query and is skipped, the hits of the others make one list. ``vectors``: fqn,
+    embedding. A vector side that fails or finds nothing leaves the lexical one (R11).
+    """
+    lexical = ranked(tiered_search(symbols, code_tokens(query) or query), F.col("place")).select("fqn", "rank")
+    lists = {"bm25": lexical}
+    vector = _attempt(lambda: embed((hypothetical and _attempt(lambda: hypothetical(query))) or query))
+    if vector is not None and len(vector):
+        near = vector_top(vectors, "fqn", "embedding", list(vector), 20)
+        lists = {"vector": ranked(near, F.col("score").desc(), F.col("fqn")).select("fqn", "rank"), **lists}
+    others = (_attempt(lambda: variants(query)) or [])[1:] if variants else []
+    if others:
+        parts = [tiered_search(symbols, q).withColumn("_v", F.lit(i)) for i, q in enumerate(others)]
+        lists["expanded"] = ranked(reduce(DataFrame.unionByName, parts), F.col("_v"), F.col("place")).select("fqn", "rank")
+    return rrf(lists, "fqn", limit)
+
+
+def _attempt(call: Callable):
+    """What ``call`` gives, None if it fails: services beside a search may be away."""
+    try:
+        return call()
+    except Exception:  # noqa: BLE001
+        return None
+
+
 def ranked(df: DataFrame, *order: Column, by: str | None = None) -> DataFrame:
     """O1: a result page with its ranks from 1; with a column ``by``, one page for each of its values."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*([by] if by else [])).orderBy(*order)))
@@ -196,11 +283,17 @@ def level_for(count: Column, budget: int = 4000) -> Column:
 
 
 def compress(hits: DataFrame, place: str = "place", budget: int = 4000) -> DataFrame:
-    """Place, entry of the hits, in order, that fit the budget of tokens (four characters each)."""
+    """Place, entry of the hits, in order, that fit the budget of tokens (four characters each).
+
+    An entry has two characters at least with its line break, so the budget
+    tells how many of the first hits can count at most; only these are ordered.
+    """
     n = hits.agg(F.count(F.lit(1)).alias("_n"))
-    x = hits.join(F.broadcast(n), F.lit(True)).withColumn("entry", entry_text(level_for(F.col("_n"), budget)))
-    before = F.coalesce(F.sum(F.length("entry") + 1).over(Window.orderBy(place).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    x = x.withColumn("_over", (F.floor((before + F.length("entry")) / 4) > budget).cast("int"))
+    x = hits.join(F.broadcast(n), F.lit(True)).withColumn("entry", entry_text(level_for(F.col("_n"), budget))).select(place, "entry")
+    x = x.orderBy(place).limit(2 * budget + 4)
+    first = Window.orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("_before", F.coalesce(F.sum(F.length("entry") + 1).over(first), F.lit(0)))
+    x = x.withColumn("_over", (F.floor((F.col("_before") + F.length("entry")) / 4) > budget).cast("int"))
     first_over = F.sum("_over").over(Window.orderBy(place).rowsBetween(Window.unboundedPreceding, 0))
     return x.withColumn("_cut", first_over).where("_cut = 0").select(place, "entry")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators.lexical import cosine_to
 from tessera.tables import micros
 
 #: A memory whose score falls below this is no longer recalled, and is reaped.
@@ -69,10 +70,7 @@ def recall(memories: DataFrame, now: Column, limit: int = 10, query: list[float]
     x = selected(scored(memories, now), **filters).where(F.col("score") >= FLOOR)
     weight = F.col("score")
     if query is not None:
-        q = F.array(*[F.lit(float(v)) for v in query])
-        v = F.transform("embedding", lambda e: e.cast("double"))
-        sim = F.when(F.size("embedding") == len(query), X.cosine(v, q))
-        weight = weight * F.coalesce(F.when(~F.isnan(sim), sim), F.lit(0.5))
+        weight = weight * F.coalesce(cosine_to("embedding", query), F.lit(0.5))
     x = x.select("id", "score", F.round(weight, 6).alias("weight"))
     return x.orderBy(F.col("weight").desc(), "id").limit(max(1, min(50, limit)))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.operators import lexical as L
 from tessera.operators import memory as M
+from tessera.operators.rank import numbered
 from tessera.plans.graphs import LIVE, symbols
 from tessera.plans.scalars import NOW
 from tessera.tables import live_rows, table
@@ -129,10 +130,9 @@ _QUERY_VECTOR = f"(SELECT e FROM ({_VEC}) ORDER BY id LIMIT 1)"
 
 def _query_vector(spark: SparkSession, d: str) -> list[float]:
     """The first usable vector by id stands for the embedded query."""
-    m = table(spark, d, "agent_memories").where(F.size("embedding") == 768)
-    good = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists("embedding", lambda v: v != 0)
-    r = m.where(good).orderBy("id").select("embedding").first()
-    return list(r[0]) if r else [1.0] * 768
+    m = table(spark, d, "agent_memories").select("id", "embedding")
+    one = m.where(L.cosine_to("embedding", [1.0] * 768).isNotNull()).orderBy("id").first()
+    return list(one["embedding"]) if one else [1.0] * 768
 
 
 @_q(f"SELECT id, round(list_cosine_similarity(e, {_QUERY_VECTOR}), 6) AS score FROM ({_VEC}) ORDER BY score DESC, id LIMIT 10")
@@ -149,24 +149,65 @@ def r06_vector_top_kind(spark, d):
     return L.vector_top(s, "fqn", "embedding", _query_vector(spark, d))
 
 
-def _lists(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    s = symbols(spark, d)
-    a = L.ranked(L.tiered_search(s, ALL_WORDS), F.col("place")).select("fqn", "rank")
-    v = live_rows(table(spark, d, "code_symbols"), "kind", "embedding")
-    b = L.ranked(L.vector_top(v, "fqn", "embedding", _query_vector(spark, d), 20), F.col("score").desc(), F.col("fqn")).select("fqn", "rank")
-    return {"vector": b, "bm25": a}
+#: A query in words with a code token, and what a model might write for it.
+MIXED, DOCUMENT = "who calls VerifyPayload with the newest key", "VerifyPayload checks the payload of the newest key and throws if it is stale"
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return live_rows(table(spark, d, "code_symbols"), "embedding").select("fqn", "embedding")
+
+
+def _hashed(text: str) -> list[float]:
+    from tessera.operators.reports import hashed_embedding
+
+    return [float(x) for x in hashed_embedding(text, 768)]
+
 
+def _near_sql(vector: str) -> str:
+    return f"SELECT fqn, row_number() OVER (ORDER BY s DESC, fqn) AS r FROM (SELECT fqn, round(list_cosine_similarity(e, {vector}), 6) AS s FROM k) QUALIFY r <= 20"
 
-@_q(f"""WITH {LIVE}, {_KIND_VEC}, {_BAGS}, a AS ({_tier(["newest", "throws"], False)}), o AS ({_tier(["newest", "throws"], True)}), i AS (SELECT fqn, length(name) AS len, {_ilike(["newest", "throws"])} AS m FROM live),
-u AS (SELECT fqn, len, score, 1 AS tier FROM a WHERE n = 2 UNION ALL SELECT fqn, len, score, 2 FROM o WHERE n > 0 UNION ALL SELECT fqn, len, round(m / 2.0::DOUBLE, 6), 3 FROM i WHERE m > 0),
-b AS (SELECT fqn, row_number() OVER (ORDER BY score DESC, len, fqn) AS r FROM u WHERE tier = (SELECT min(tier) FROM u) QUALIFY r <= 20),
-v AS (SELECT fqn, row_number() OVER (ORDER BY s DESC, fqn) AS r FROM (SELECT fqn, round(list_cosine_similarity(e, {_QUERY_VECTOR}), 6) AS s FROM k) QUALIFY r <= 20),
-l AS (SELECT fqn, r, 0 AS ord, 'vector' AS src FROM v UNION ALL SELECT fqn, r, 1, 'bm25' FROM b),
+
+def _vector_sql(text: str) -> str:
+    return "[" + ", ".join(str(x) for x in _hashed(text)) + "]::DOUBLE[]"
+
+
+def _fused_sql(lexical: str, vector: str, *more: str) -> str:
+    """The fused page of a lexical search, a vector, and searches whose hits make one list."""
+    more_ctes = "".join(f", m{i} AS ({q})" for i, q in enumerate(more))
+    joined = " UNION ALL ".join(f"SELECT {i} AS v, place, fqn FROM m{i}" for i in range(len(more)))
+    expanded = f" UNION ALL SELECT fqn, row_number() OVER (ORDER BY v, place), 2, 'expanded' FROM ({joined})" if more else ""
+    return f"""WITH {LIVE}, {_KIND_VEC}, b AS ({lexical}){more_ctes}, v AS ({_near_sql(vector)}),
+l AS (SELECT fqn, r, 0 AS ord, 'vector' AS src FROM v UNION ALL SELECT fqn, place, 1, 'bm25' FROM b{expanded}),
 f AS (SELECT fqn, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score, arg_min(src, (ord, r)) AS source, min(ord) AS ord, arg_min(r, (ord, r)) AS r FROM l GROUP BY fqn)
-SELECT row_number() OVER (ORDER BY score DESC, ord, r, fqn) AS place, fqn, score, source FROM f ORDER BY place LIMIT 20""")
+SELECT row_number() OVER (ORDER BY score DESC, ord, r, fqn) AS place, fqn, score, source FROM f ORDER BY place LIMIT 20"""
+
+
+def _search_sql(query: str) -> str:
+    """The tiered search of a query as SQL."""
+    words = sorted({w for t in L.split_terms(query) for w in L._plain_words(t)})
+    return _tiered_sql(words, L.clean_terms(query), L.split_terms(query))
+
+
+@_q(_fused_sql(_search_sql(L.code_tokens(MIXED)), _QUERY_VECTOR))
 def r10_hybrid(spark, d):
-    """Lexical on the code part of the query, vectors on the whole, fused; either side may be empty."""
-    return L.rrf(_lists(spark, d), "fqn")
+    """Lexical on the code part of the query, vectors on the whole, fused; the first usable vector is the query's."""
+    return L.hybrid(symbols(spark, d), _vectors(spark, d), MIXED, lambda q: _query_vector(spark, d))
+
+
+@_q(_search_sql(ALL_WORDS).replace("SELECT row_number() OVER (ORDER BY score DESC, len, fqn) AS place, fqn, score, tier FROM u", "SELECT place, fqn, round(1.0::DOUBLE / (60 + place), 9) AS score, 'bm25' AS source FROM (SELECT row_number() OVER (ORDER BY score DESC, len, fqn) AS place, fqn, tier FROM u").replace(" ORDER BY place LIMIT 20", ") ORDER BY place LIMIT 20"))
+def r11_vector_away(spark, d):
+    """A vector side that fails leaves the lexical one."""
+
+    def away(q: str) -> list[float]:
+        raise ConnectionError(q)
+
+    return L.hybrid(symbols(spark, d), _vectors(spark, d), ALL_WORDS, away)
+
+
+@_q(_fused_sql(_search_sql(L.code_tokens(MIXED)), _vector_sql(DOCUMENT)))
+def r14_hypothetical(spark, d):
+    """The vector side embeds what a model writes for the query; hashes of words stand for an embedding service."""
+    return L.hybrid(symbols(spark, d), _vectors(spark, d), MIXED, _hashed, hypothetical=lambda q: DOCUMENT)
 
 
 @_q("""WITH h AS (SELECT query_id, fqn, lower(trim(source)) AS s, score FROM search_results WHERE score IS NOT NULL AND NOT isnan(score)),
@@ -179,18 +220,16 @@ def r12_rrf(spark, d):
     return L.rrf({s: L.ranked(hits.where(F.col("s") == s), F.col("score").desc(), F.col("fqn"), by="query_id").select("query_id", "fqn", "rank") for s in ("vector", "bm25", "graph", "memory", "rerank")}, "fqn", by="query_id")
 
 
-@_q("")
+@_q(_fused_sql(_search_sql(ALL_WORDS), _QUERY_VECTOR, _search_sql(ANY_PREFIX), _search_sql(SUBSTRING)))
 def r13_variants(spark, d):
-    """Several phrasings, each searched, concatenated into one list whose ranks go on, then fused."""
-    s = symbols(spark, d)
-    parts = [L.tiered_search(s, q).withColumn("v", F.lit(i)) for i, q in enumerate((ANY_PREFIX, SUBSTRING))]
-    one = L.ranked(parts[0].unionByName(parts[1]), F.col("v"), F.col("place")).select("fqn", "rank")
-    return L.rrf({**_lists(spark, d), "expanded": one}, "fqn")
+    """Other phrasings, each searched, concatenated into one list whose ranks go on, then fused."""
+    return L.hybrid(symbols(spark, d), _vectors(spark, d), ALL_WORDS, lambda q: _query_vector(spark, d), variants=lambda q: [q, ANY_PREFIX, SUBSTRING])
 
 
-def _hits(spark: SparkSession, d: str) -> DataFrame:
+def _hits(spark: SparkSession, d: str, order: bool = False) -> DataFrame:
     s = live_rows(table(spark, d, "code_symbols"), "name", "kind", "signature", "file_path", "start_line", "documentation", "summary")
-    return L.ranked(s, F.col("fqn")).withColumnRenamed("rank", "place").withColumn("score", F.lit(1.0)).withColumn("source", F.lit("graph"))
+    s = s.withColumn("score", F.lit(1.0)).withColumn("source", F.lit("graph"))
+    return numbered(s, "fqn") if order else s
 
 
 def _entry_sql(level: int) -> str:
@@ -218,7 +257,7 @@ y AS (SELECT place, entry, coalesce(sum(length(entry) + 1) OVER (ORDER BY place
 SELECT place, entry FROM y WHERE place < coalesce((SELECT min(place) FROM y WHERE n // 4 > 4000), 1000000000)""")
 def r15_compress(spark, d):
     """R15, O3 over all live symbols: the level follows the number of hits, the text ends where the budget does."""
-    return L.compress(_hits(spark, d))
+    return L.compress(_hits(spark, d, order=True))
 
 
 @_q("SELECT id, name, path FROM repositories WHERE lower(trim(name)) = lower((SELECT name FROM repositories ORDER BY id LIMIT 1)) ORDER BY last_indexed DESC NULLS LAST, id LIMIT 1")
@@ -244,7 +283,16 @@ def r20_bm25_documents(spark, d):
     return L.bm25(table(spark, d, "documents"), "doc_id", "text", "nightly ledger")
 
 
-@_q("")
+def _level_sql(n: str) -> str:
+    """The entry at the level that so many hits allow, with a real score and source."""
+    two = _entry_sql(2).replace("'  Score: 1.0000 (graph)'", "'  Score: ' || printf('%.4f', score) || ' (bm25)'")
+    return f"CASE WHEN 4000 // greatest({n}, 1) >= 500 THEN {two} WHEN 4000 // greatest({n}, 1) >= 150 THEN {_entry_sql(1)} ELSE {_entry_sql(0)} END"
+
+
+@_q(f"""WITH {LIVE}, t AS ({_search_sql(ALL_WORDS)}), j AS (SELECT t.place, t.score, live.* FROM t JOIN live USING (fqn)),
+x AS (SELECT place, {_level_sql("(SELECT count(*) FROM j)")} AS entry FROM j),
+y AS (SELECT place, entry, coalesce(sum(length(entry) + 1) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(entry) AS n FROM x)
+SELECT place, entry FROM y WHERE place < coalesce((SELECT min(place) FROM y WHERE n // 4 > 4000), 1000000000)""")
 def r18_search_tool(spark, d):
     """The lexical tool: twenty hits, compressed."""
     s = symbols(spark, d)
