@@ -20,20 +20,34 @@ _LINKS = "node string, parent string, steps long, trail array<string>"
 _PARTS = "node string, exit string, steps long, looped boolean, trail array<string>"
 
 
-def parent_links(edges: DataFrame) -> DataFrame:
-    """node and parent (null at a root) for every fqn that is an end of an Inherits or Declares row.
+def parent_rows(edges: DataFrame) -> DataFrame:
+    """node and parent (null where the row tells none) of every end of an Inherits or Declares row; rows repeat.
 
     Inherits leads from child to parent, Declares from parent to child. Null and
-    blank ends are no nodes, though the other end of their row is one. Repeated
-    rows count once; should a child name several parents, the smallest counts.
+    blank ends are no nodes, though the other end of their row is one.
     """
     up = edges.where(F.col("type").isin("Inherits", "Declares"))
     child = F.when(F.col("type") == "Inherits", F.col("from_fqn")).otherwise(F.col("to_fqn"))
     parent = F.when(F.col("type") == "Inherits", F.col("to_fqn")).otherwise(F.col("from_fqn"))
     pair = up.select(F.when(~blank(child), child).alias("c"), F.when(~blank(parent), parent).alias("p"))
     both = F.array(F.struct(F.col("c").alias("node"), F.col("p").alias("parent")), F.struct(F.col("p").alias("node"), F.lit(None).cast("string").alias("parent")))
-    rows = pair.select(F.explode(both).alias("x")).select("x.node", "x.parent").where(F.col("node").isNotNull())
-    return rows.groupBy("node").agg(F.min("parent").alias("parent"))
+    return pair.select(F.explode(both).alias("x")).select("x.node", "x.parent").where(F.col("node").isNotNull())
+
+
+def parent_links(edges: DataFrame) -> DataFrame:
+    """node and parent (null at a root) for every fqn of :func:`parent_rows`.
+
+    Repeated rows count once; should a child name several parents, the smallest
+    counts, and :func:`parent_conflicts` tells of the others.
+    """
+    return parent_rows(edges).groupBy("node").agg(F.min("parent").alias("parent"))
+
+
+def parent_conflicts(edges: DataFrame) -> DataFrame:
+    """node, parent, kept of the nodes that name several parents: one row for each, kept is true for the one that counts."""
+    rows = parent_rows(edges).where(F.col("parent").isNotNull()).distinct()
+    many = rows.groupBy("node").agg(F.min("parent").alias("first"), F.max("parent").alias("last")).where("first <> last")
+    return rows.join(many.select("node", "first"), "node").select("node", "parent", (F.col("parent") == F.col("first")).alias("kept"))
 
 
 def _contract(with_trail: bool):

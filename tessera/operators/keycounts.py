@@ -22,6 +22,8 @@ from tessera.session import shuffle_partitions
 
 #: Distinct keys that one split gathers before it sends what it has.
 FLUSH_KEYS = 500_000
+#: Distinct keys that one reducer holds, about; more keys make more reducers.
+REDUCER_KEYS = 500_000
 
 _NONE_MIN, _NONE_MAX = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 
@@ -79,7 +81,9 @@ def dense_key_results(
     sums, lows, highs = sums or {}, lows or {}, highs or {}
     names = [*sums, *lows, *highs]
     ns, nl, nh = len(sums), len(lows), len(highs)
-    blocks = 4 * shuffle_partitions(df.sparkSession)
+    distinct = df.agg(F.approx_count_distinct(key)).first()[0]
+    tasks = max(shuffle_partitions(df.sparkSession), -(-distinct // REDUCER_KEYS))
+    blocks = 4 * tasks
     picked = df.select(
         F.col(key).cast("string").alias("k"),
         *[c.cast("long").alias(f"m{i}") for i, c in enumerate([*sums.values(), *lows.values(), *highs.values()])],
@@ -146,7 +150,9 @@ def dense_key_results(
             cut += [pa.array(a[: len(keys)], mask=a[: len(keys)] == fill) for a in arrays]
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *cut], schema=arrow_out)
 
-    return picked.mapInArrow(split, block_type).repartition("block").mapInArrow(reduce, out_type)
+    blocked = picked.mapInArrow(split, block_type)
+    by_block = blocked.repartition("block") if tasks == shuffle_partitions(df.sparkSession) else blocked.repartition(tasks, "block")
+    return by_block.mapInArrow(reduce, out_type)
 
 
 def heavy_keys(df: DataFrame, key: str, one_in: int) -> DataFrame:

@@ -16,6 +16,9 @@ from tessera.tables import blank, micros
 #: Ends with these prefixes name things outside the symbol table.
 OUTSIDE = ("env:", "http:", "event:")
 
+#: References and symbols of one key range at most, about; a reducer holds one range at a time.
+RANGE_ROWS = 500_000
+
 _CHUNK = 1 << 16
 _SPARSE = 4096
 
@@ -154,7 +157,7 @@ def orphan_keys(ends: DataFrame, symbols: DataFrame, ranges: int | None = None)
     both go to the reducer of their key range, which codes the keys as
     integers and computes reference AND NOT parent on bitmaps per period.
     """
-    ranges = ranges or 4 * shuffle_partitions(ends.sparkSession)
+    ranges = ranges or max(4 * shuffle_partitions(ends.sparkSession), -(-(ends.count() + symbols.count()) // RANGE_ROWS))
     refs = ends.select("key", F.coalesce("period", F.lit(-1)).alias("period")).distinct()
     nothing = lambda kind: F.lit(None).cast(kind)
     refs = refs.select("key", "period", F.lit(False).alias("is_parent"), F.lit(False).alias("live"), nothing("long").alias("earliest"))
@@ -177,8 +180,9 @@ def orphan_references(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     their verdict by broadcast, see :func:`~tessera.operators.hotjoin.hot_join`.
     """
     ends = reference_ends(edges)
-    orphans = materialize(orphan_keys(ends, symbols), "orphans")
     total = edges.count()
+    ranges = max(4 * shuffle_partitions(edges.sparkSession), -(-(2 * total + symbols.count()) // RANGE_ROWS))
+    orphans = materialize(orphan_keys(ends, symbols, ranges), "orphans")
     counts = ends.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     hot = materialize(hot_keys(counts, "key", "n", 2 * total), "hot-ends")
     left = ends.withColumn("period", F.coalesce("period", F.lit(-1)))

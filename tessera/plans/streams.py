@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import graph as G
 from tessera.operators import reports as R
+from tessera.plans import texts
 from tessera.plans.graphs import LIVE, busiest, edges, symbols
 from tessera.plans.retrieval import _query_vector
 from tessera.streaming import watch as T
@@ -37,14 +38,20 @@ def _event_stream(spark: SparkSession, d: str) -> DataFrame:
     return spark.readStream.schema(_events(spark, d).schema).parquet(f"{d}/events*.parquet")
 
 
-@_q("")
+_ACCEPTED = f"""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS us FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+w AS (SELECT user_id, min(us) AS us FROM e GROUP BY user_id
+  UNION ALL SELECT w.user_id, (SELECT min(e.us) FROM e WHERE e.user_id = w.user_id AND e.us >= w.us + {_GAP}) FROM w WHERE w.us IS NOT NULL)
+SELECT user_id, us FROM w WHERE us IS NOT NULL"""
+
+
+@_q(_ACCEPTED)
 def t01_leading_debounce(spark, d):
     """User stands for the file; six hours for two seconds."""
     e = _events(spark, d).select("user_id", micros("ts").alias("us"))
     return T.leading_debounce(e, "user_id", "us", _GAP)
 
 
-@_q("")
+@_q(_ACCEPTED)
 def t01_leading_debounce_stream(spark, d):
     e = _event_stream(spark, d).select("user_id", micros("ts").alias("us"))
     return T.collected(T.leading_debounce_stream(e, "user_id", "us", _GAP), "append")
@@ -122,7 +129,12 @@ def g20_g21_architecture(spark, d):
     return R.architecture(symbols(spark, d), edges(spark, d))
 
 
-@_q("")
+@_q("WITH " + LIVE + f""", x AS (SELECT 'types' AS part, {_MODULE} AS grp, name, fqn FROM live WHERE lower(kind) IN {_TYPES} UNION ALL SELECT 'endpoints', {_MODULE}, name, fqn FROM live WHERE lower(kind) = 'api_endpoint'),
+y AS (SELECT *, row_number() OVER (PARTITION BY part, grp ORDER BY name, fqn) AS k, count(*) OVER (PARTITION BY part, grp) AS c FROM x),
+r AS (SELECT part, grp, max(c) AS n, string_agg(name, ', ' ORDER BY k) FILTER (WHERE k <= 15) AS sample FROM y GROUP BY part, grp),
+l AS (SELECT DISTINCT part, '' AS grp, '## ' || upper(part[1]) || part[2:] AS line FROM r
+  UNION ALL SELECT part, '_' || grp, '- **' || grp || '** (' || n || '): ' || sample || CASE WHEN n > 15 THEN ' ... ' || (n - 15) || ' more' ELSE '' END FROM r)
+SELECT row_number() OVER (ORDER BY part, grp) AS ord, line FROM l""")
 def w17_markdown_export(spark, d):
     return R.markdown_export(R.architecture(symbols(spark, d), edges(spark, d)))
 
@@ -169,9 +181,20 @@ def sql01_functions(spark, d):
 
 @_q("")
 def sql02_extract_lateral(spark, d):
-    """The extractor as a table function, joined laterally to whole texts."""
+    """The extractor as a table function, joined laterally to whole texts in their own languages."""
+    from tessera.functions.sql import register
+    from tessera.plans.texts import _code
+
+    register(spark)
+    return spark.sql("SELECT c.path, x.fqn, x.kind, x.start_line FROM {c} c, LATERAL extract_symbols(c.path, c.content) x", c=_code(spark, d))
+
+
+@_q(texts._values("path, fqn, kind, start_line", *[(p, r[0], r[1], r[2]) for p, r in texts.sample_symbols()]))
+def sql02_extract_languages(spark, d):
+    """The same on one file in each language."""
     from tessera.functions.sql import register
+    from tessera.plans.samples import FILES
 
     register(spark)
-    code = table(spark, d, "documents").where("doc_kind = 'code' AND text IS NOT NULL")
-    return spark.sql("SELECT c.doc_id, x.fqn, x.kind, x.start_line FROM {c} c, LATERAL extract_symbols('d.ts', c.text) x", c=code)
+    c = spark.createDataFrame(list(FILES), "path string, content string")
+    return spark.sql("SELECT c.path, x.fqn, x.kind, x.start_line FROM {c} c, LATERAL extract_symbols(c.path, c.content) x", c=c)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans import samples
 from tessera.sources import extract as E
 from tessera.sources import files as S
 from tessera.sources import formats as P
@@ -33,7 +34,7 @@ def _files(spark: SparkSession, *rows: tuple[str, str]) -> DataFrame:
 
 
 def _values(columns: str, *rows: tuple) -> str:
-    lit = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    lit = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({columns})"
 
 
@@ -72,7 +73,7 @@ def _code(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     ext = (
         F.when(t.rlike(r"(?m)^\s*(async )?def \w+"), "py").when(t.rlike(r"(?m)^\s*func "), "go").when(t.rlike(r"(?m)^\s*(pub )?fn "), "rs")
-        .when(t.rlike(r"(?m)^\s*(public |private )?function .*\$"), "php").when(t.rlike(r"(?m)^\s*(export )?(async )?function "), "ts").when(t.rlike(r"(?m)^\s*public "), "java").otherwise("ts")
+        .when(t.rlike(r"(?m)^\s*(public |private )?function .*\$"), "php").when(t.rlike(r"(?m)^\s*(export )?(async )?function "), "ts").when(t.rlike(r"(?m)^\s*using [\w.]+;|^\s*namespace |\bget; set;|\bTask<|\bstring \w+[,)]|\bbool \w+[,)]|\bdecimal "), "cs").when(t.rlike(r"(?m)^\s*public "), "java").otherwise("ts")
     )
     return docs.select(F.concat(F.lit("docs/d"), F.col("doc_id").cast("string"), F.lit("."), ext).alias("path"), t.alias("content"))
 
@@ -107,6 +108,52 @@ def x24_test_names(spark, d):
 
 # ---- code in several languages, literal ----
 
+
+def _sample_symbols(spark: SparkSession) -> DataFrame:
+    return E.symbols_of(E.extract(_files(spark, *samples.FILES)))
+
+
+@_q(_values("fqn, kind, start_line, end_line, accessibility", *[r[:5] for r in samples.SYMBOLS]))
+def x01_x07_languages(spark, d):
+    """The symbols of one file in each language."""
+    return _sample_symbols(spark).select("fqn", "kind", "start_line", "end_line", "accessibility")
+
+
+@_q(_values("fqn, complexity, nesting", *[(r[0], r[6], r[7]) for r in samples.SYMBOLS if r[6] is not None]))
+def x23_metrics_by_language(spark, d):
+    return _sample_symbols(spark).where("complexity IS NOT NULL").select("fqn", "complexity", "nesting")
+
+
+@_q(_values("fqn", *[(r[0],) for r in samples.SYMBOLS if r[5]]))
+def x24_test_methods(spark, d):
+    """Tests by attribute, annotation or name, as the extractor finds them."""
+    return _sample_symbols(spark).where("is_test_method").select("fqn")
+
+
+@_q(_values("fqn, documentation", *samples.DOCUMENTATION))
+def x25_documentation(spark, d):
+    return _sample_symbols(spark).where("documentation IS NOT NULL").select("fqn", "documentation")
+
+
+def sample_symbols() -> list[tuple[str, tuple]]:
+    """The path and the row of each symbol of the samples; every file's symbols stand together, in the order of the files."""
+    roots = ("lib.", "web/", "org.", "net", "crate::", "App", ("Shop.", "API:"))
+    return [(path, r) for (path, _), root in zip(samples.FILES, roots, strict=True) for r in samples.SYMBOLS if r[0].startswith(root)]
+
+
+def _sample_edges(name: str, *kinds: str) -> None:
+    def run(spark, d):
+        return E.edges_of(E.extract(_files(spark, *samples.FILES))).where(F.col("type").isin(*kinds)).select("from_fqn", "to_fqn", "type")
+
+    QUERIES[name] = run
+    ORACLE[name] = _values("from_fqn, to_fqn, type", *[r for r in samples.EDGES if r[2] in kinds])
+
+
+_sample_edges("x19_calls", "Calls", "Creates", "TestCovers")
+_sample_edges("x20_type_dependencies", "UsesType", "DependsOn", "Inherits", "Implements")
+_sample_edges("x22_contracts", "AcceptsDto", "ReturnsDto")
+_sample_edges("x01_x07_members", "Declares", "HasMethod", "HasConstructor", "HasProperty", "HasField")
+
 _SAMPLES = (
     ("app/svc.py", 'import os, requests\n@app.get("/items")\ndef items(a: Item):\n    if a:\n        return requests.post("http://x/y")\n    return os.getenv("PORT")\n'),
     ("web/a.ts", "import { B } from './b';\n@Controller('cats')\nexport class A extends B {\n  @Get(':id')\n  find(id: string) { bus.emit('found'); return fetch('http://a/b' + process.env.HOST); }\n}\napp.post('/users', create);\n"),
@@ -161,6 +208,21 @@ def j14_import_resolution(spark, d):
     return e.where("type = 'DependsOn' AND from_fqn = 'web/a.ts'").select("from_fqn", "to_fqn")
 
 
+_CALLS = (
+    ("a.ts", "import { run as launch, stop } from './lib/b';\nexport function own() { launch(); stop(); own(); rare(); twice(); }\n"),
+    ("lib/b.ts", "export function run() { return 1; }\nexport function stop() { return 2; }\nexport function twice() { return 3; }\n"),
+    ("c.ts", "export function run() { return 4; }\nexport function stop() { return 5; }\nexport function rare() { return 6; }\nexport function twice() { return 7; }\n"),
+)
+
+
+@_q(_values("from_fqn, to_fqn", *[("a.ts:own", t) for t in ("lib/b.ts:run", "lib/b.ts:stop", "a.ts:own", "c.ts:rare", "twice")]))
+def j15_callee_cascade(spark, d):
+    """Own file, imported name, name that exists once, else as written."""
+    rows = E.extract(_files(spark, *_CALLS))
+    s = E.symbols_of(rows)
+    return E.resolve_calls(E.resolve_imports(E.edges_of(rows), s.select(F.col("path").alias("module"))), s).where("type = 'Calls'").select("from_fqn", "to_fqn")
+
+
 # ---- configuration and manifests, literal ----
 
 _CONFIG = (

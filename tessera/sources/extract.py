@@ -473,7 +473,9 @@ def parse_masked(path: str, text: str, language: str) -> Parsed:
     for m in re.finditer({"typescript": r"""import\s+(?:[^;'"]*?from\s+)?['"]|require\(['"]""", "java": r"^\s*import\s+(?:static\s+)?([\w.*]+)\s*;", "csharp": r"^\s*using\s+([\w.]+)\s*;", "rust": r"^\s*(?:pub\s+)?use\s+([\w:]+)", "php": r"^\s*use\s+([\w\\]+)", "go": r"(?!)"}[language], masked, re.M):
         if language == "typescript":
             spec = re.match(r"[^'\"]*", text[m.end() :])[0]
-            out.edge(root, spec, "DependsOn", line_of(m.start()))
+            named = re.search(r"\{([^}]*)\}", m[0])
+            names_of = [re.sub(r"\s+as\s+", ":", x.strip().removeprefix("type ").strip()) for x in named[1].split(",") if x.strip()] if named else []
+            out.edge(root, spec, "DependsOn", line_of(m.start()), **({"names": ",".join(names_of)} if names_of else {}))
         else:
             out.edge(root or path, m[1], "DependsOn", line_of(m.start(1)))
     if language == "go":
@@ -723,19 +725,28 @@ def resolve_imports(edges: DataFrame, modules: DataFrame) -> DataFrame:
     itself, with an extension, or its index file counts. Others stay as they are.
     """
     probes = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js")
-    e = edges.withColumn("_id", F.monotonically_increasing_id())
-    rel = e.where((F.col("type") == "DependsOn") & F.col("to_fqn").startswith("."))
+    rel = edges.where((F.col("type") == "DependsOn") & F.col("to_fqn").startswith(".")).select("path", "to_fqn").distinct()
     base = X.normalize_path(F.concat(X.directory_of("path"), F.lit("/"), "to_fqn"))
-    tried = rel.select("_id", base.alias("b"), F.posexplode(F.array(*[F.lit(p) for p in probes])).alias("k", "suffix")).select("_id", "k", F.concat("b", "suffix").alias("module"))
-    hit = tried.join(modules.select("module").distinct(), "module").groupBy("_id").agg(F.min(F.struct("k", "module")).alias("m"))
-    return e.join(hit, "_id", "left").withColumn("to_fqn", F.coalesce("m.module", "to_fqn")).drop("_id", "m")
+    tried = rel.select("path", "to_fqn", base.alias("b"), F.posexplode(F.array(*[F.lit(p) for p in probes])).alias("k", "suffix"))
+    tried = tried.select("path", "to_fqn", "k", F.concat("b", "suffix").alias("module"))
+    hit = tried.join(modules.select("module").distinct(), "module").groupBy("path", "to_fqn").agg(F.min(F.struct("k", "module")).alias("m"))
+    out = edges.join(hit, ["path", "to_fqn"], "left")
+    return out.withColumn("to_fqn", F.when(F.col("type") == "DependsOn", F.coalesce("m.module", "to_fqn")).otherwise(F.col("to_fqn"))).select(*edges.columns)
 
 
 def resolve_calls(edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Bare callees resolved: a name of the same file first, else a name that exists once anywhere, else as it was."""
+    """Bare callees resolved: a name of the same file first, then one that the file imports, then a name that exists once anywhere, else as it was.
+
+    ``edges`` come from :func:`resolve_imports`; the names that a file imports
+    stand in the metadata of its DependsOn edges, as name or name:local name.
+    """
     funcs = symbols.where(F.col("kind").isin("function", "method")).select("path", "name", "fqn")
     local = funcs.groupBy("path", "name").agg(F.min("fqn").alias("_local"), F.count(F.lit(1)).alias("_nl")).where("_nl = 1").drop("_nl").withColumnRenamed("name", "to_fqn")
     unique = funcs.groupBy(F.col("name").alias("to_fqn")).agg(F.min("fqn").alias("_any"), F.count(F.lit(1)).alias("_na")).where("_na = 1").drop("_na")
+    imported = edges.where((F.col("type") == "DependsOn") & F.col("metadata")["names"].isNotNull())
+    imported = imported.select("path", F.col("to_fqn").alias("module"), F.explode(F.split(F.col("metadata")["names"], ",")).alias("n"))
+    imported = imported.select("path", "module", F.split("n", ":")[0].alias("name"), F.element_at(F.split("n", ":"), -1).alias("to_fqn"))
+    bound = imported.join(funcs.select(F.col("path").alias("module"), "name", "fqn"), ["module", "name"]).groupBy("path", "to_fqn").agg(F.min("fqn").alias("_bound"))
     bare = X.is_bare_name("to_fqn") & F.col("type").isin("Calls", "TestCovers")
-    out = edges.join(local, ["path", "to_fqn"], "left").join(unique, "to_fqn", "left")
-    return out.withColumn("to_fqn", F.when(bare, F.coalesce("_local", "_any", "to_fqn")).otherwise(F.col("to_fqn"))).select(*edges.columns)
+    out = edges.join(local, ["path", "to_fqn"], "left").join(bound, ["path", "to_fqn"], "left").join(unique, "to_fqn", "left")
+    return out.withColumn("to_fqn", F.when(bare, F.coalesce("_local", "_bound", "_any", "to_fqn")).otherwise(F.col("to_fqn"))).select(*edges.columns)

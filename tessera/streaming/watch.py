@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,8 +38,10 @@ def leading_debounce(events: DataFrame, key: str, ts: str, micros_gap: int) -> D
     """T1, batch form: the events at least ``micros_gap`` microseconds after the last accepted one of their key.
 
     ``ts`` is a long in microseconds. Each partition is read in order of key and
-    time and keeps one number, the last accepted time; memory does not follow
-    the size of a key. Events without a key or time are dropped.
+    time and keeps one number, the last accepted time, from which a binary
+    search leads to the next; memory does not follow the size of a key, and
+    though one key's events are decided one after another, the work follows the
+    number of those accepted. Events without a key or time are dropped.
     """
     schema = events.schema
     ordered = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).repartition(key).sortWithinPartitions(key, ts)
@@ -46,12 +49,17 @@ def leading_debounce(events: DataFrame, key: str, ts: str, micros_gap: int) -> D
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last_key, last = None, 0
         for p in pdfs:
-            keep = []
-            for k, t in zip(p[key], p[ts], strict=True):
-                ok = k != last_key or t - last >= micros_gap
-                if ok:
-                    last_key, last = k, t
-                keep.append(ok)
+            key_of, times = p[key].to_numpy(object), p[ts].to_numpy(np.int64)
+            keep = np.zeros(len(p), bool)
+            first = np.flatnonzero(np.append(True, key_of[1:] != key_of[:-1])) if len(p) else np.zeros(0, int)
+            for lo, hi in zip(first, np.append(first[1:], len(p)), strict=True):
+                mine = times[lo:hi]
+                at = int(np.searchsorted(mine, last + micros_gap)) if key_of[lo] == last_key else 0
+                while at < len(mine):  # from one accepted event to the next
+                    keep[lo + at] = True
+                    last = int(mine[at])
+                    at = max(at + 1, int(np.searchsorted(mine, last + micros_gap)))
+                last_key = key_of[lo]
             yield p[keep]
 
     return ordered.mapInPandas(run, schema)

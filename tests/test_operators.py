@@ -255,3 +255,35 @@ def test_functions_of_null_and_odd_text(spark):
     df = spark.createDataFrame([(None,), ("",), ("(",), ("x" * 10_000,)], "s string")
     for f in (X.method_name, X.containing_type, X.normalize_generics, X.infer_kind, X.sanitize_label, X.normalize_route, X.normalize_path, X.slug, X.redact, X.has_secret, X.language_of, X.module_from_path, X.clean_docstring, X.clean_doc_comment, X.xml_summary):
         assert df.select(f("s")).count() == 4 and len(df.select(f("s")).collect()) == 4
+
+
+def test_sql_functions_equal_the_columns(spark):
+    from tessera.functions.sql import register
+
+    register(spark)
+    texts = [
+        "A.B.Run(int, List<Map<K, V>>)", "DI:IFoo->Foo", "API:GET:items/{id}", "config:a", "doc:x#y", "doc:x", "N.IThing", "N.Thing", "List<Map<A, B>>.x", "", None, "a/b/../c/./d", "..\\x\\y", "../../a",
+        "src/a.ts:Foo.bar", "Hello  World --- X", '"quoted"', "Ünïcode-1 _x", "/a/", "a//", "p(q", "(x",
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string")
+    for name in ("method_name", "containing_type", "normalize_generics", "infer_kind", "sanitize_label", "normalize_path", "directory_of", "module_of", "member_of", "slug", "unquote", "normalize_route"):
+        got = {r["i"]: (r["a"], r["b"]) for r in df.select("i", getattr(X, name)("s").alias("a"), F.expr(f"{name}(s)").alias("b")).collect()}
+        assert all(a == b for a, b in got.values()), (name, {texts[i]: v for i, v in got.items() if v[0] != v[1]})
+    pairs = spark.createDataFrame([("/api/", "/x"), ("", "x"), (None, "/x/"), ("a", None), ("api/[Controller]/[action]", "Cat$Controller")], "p string, r string")
+    for r in pairs.select(X.join_route("p", "r").alias("a"), F.expr("join_route(p, r)").alias("b"), X.expand_route("p", "r", F.lit("Go")).alias("c"), F.expr("expand_route(p, r, 'Go')").alias("d")).collect():
+        assert r["a"] == r["b"] and r["c"] == r["d"]
+    one = spark.sql("SELECT cosine_similarity(array(1D, 0D), array(1D, 1D)) AS a, cosine_similarity(array(0D), array(1D)) AS b, cosine_similarity(array(1D), array(1D, 2D)) AS c").first()
+    assert abs(one["a"] - 0.5**0.5) < 1e-12 and one["b"] is None and one["c"] is None
+
+
+def test_calls_follow_imports(spark):
+    """The file's own name, then an imported one (under its local name), then one that exists once, else as written."""
+    files = [
+        ("a.ts", "import { run as launch, stop } from './lib/b';\nexport function own() { launch(); stop(); own(); rare(); twice(); }\n"),
+        ("lib/b.ts", "export function run() { return 1; }\nexport function stop() { return 2; }\nexport function twice() { return 3; }\n"),
+        ("c.ts", "export function run() { return 4; }\nexport function stop() { return 5; }\nexport function rare() { return 6; }\nexport function twice() { return 7; }\n"),
+    ]
+    rows = E.extract(spark.createDataFrame(files, "path string, content string"))
+    s, e = E.symbols_of(rows), E.edges_of(rows)
+    out = E.resolve_calls(E.resolve_imports(e, s.select(F.col("path").alias("module"))), s).where("type = 'Calls'")
+    assert {r["to_fqn"] for r in out.collect() if r["from_fqn"] == "a.ts:own"} == {"lib/b.ts:run", "lib/b.ts:stop", "a.ts:own", "c.ts:rare", "twice"}

@@ -181,6 +181,12 @@ def test_forest_small(spark):
     assert H.solve_forest(H.parent_links(e.limit(0))).count() == 0
 
 
+def test_second_parents_are_told(spark):
+    e = _edges(spark, ("b", "a", "Inherits", "x"), ("b", "a", "Inherits", "x"), ("z", "b", "Declares", "x"), ("c", "a", "Inherits", "x"), (None, "c", "Declares", "x"))
+    assert {tuple(r) for r in H.parent_conflicts(e).collect()} == {("b", "a", True), ("b", "z", False)}
+    assert H.parent_conflicts(e.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("shape", ["random", "chain", "star"])
 def test_forest_recursion(spark, shape):
     r = random.Random(5)
