@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tessera.functions import text as X
 from tessera.operators.lexical import cosine_to
+from tessera.operators.store import VersionedTable
+from tessera.session import materialize, scratch_dir
 from tessera.tables import micros
 
 #: A memory whose score falls below this is no longer recalled, and is reaped.
@@ -103,3 +106,54 @@ def under_ceiling(memories: DataFrame, now: Column, ceiling: int) -> DataFrame:
     """The ``ceiling`` best rows of each scope and scope id; the limit is applied inside each task first."""
     w = Window.partitionBy(F.lower(F.trim("scope")), "scope_id").orderBy(F.col("score").desc_nulls_last(), "id")
     return scored(memories, now).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= ceiling).drop("_k")
+
+
+def reaper(memories: VersionedTable, every: str = "1 hour", now: Column | None = None, once: bool = False) -> StreamingQuery:
+    """M8: a running query that reaps the current state of a table, at once and then on a schedule; with ``once`` it ends after one.
+
+    A state without anything to reap is not written again; a writer that was
+    first makes the reaping wait for its next turn.
+    """
+    at = now if now is not None else F.expr("cast(current_timestamp() AS timestamp_ntz)")
+
+    def reap(_: DataFrame, __: int) -> None:
+        state = memories.read()
+        if state is None:
+            return
+        gone = scored(state, at).where(F.col("score") < FLOOR).limit(1).count()
+        if gone:
+            try:
+                memories.write(reaped(state, at))
+            except RuntimeError:
+                pass
+
+    spark = memories.spark
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
+    out = ticks.writeStream.foreachBatch(reap).option("checkpointLocation", scratch_dir(spark, "reaper"))
+    return (out.trigger(once=True) if once else out.trigger(processingTime=every)).start()
+
+
+def tool(memories: DataFrame, action: str, now: Column, **given) -> tuple[DataFrame, DataFrame]:
+    """M9: one memory tool: the table after it, and what it answers.
+
+    save (rows): id and reason of each row, null where it was saved; recall
+    (limit, query, filters): the recalled rows, whose access is counted; list
+    (limit, filters): rows; forget (id) and clear (session): how many are gone.
+    """
+    if action == "save":
+        after, rejected = save(memories, given["rows"])
+        kept = given["rows"].join(rejected.select("id"), "id", "left_anti").select("id", F.lit(None).cast("string").alias("reason"))
+        return after, kept.unionByName(rejected.select("id", "reason"))
+    if action == "recall":
+        found = materialize(recall(memories, now, **given), "recalled")
+        return touched(memories, found, now), found
+    if action == "list":
+        return memories, listed(memories, **given)
+    if action == "forget":
+        after = memories.where(~F.coalesce(F.col("id") == F.lit(given["id"]), F.lit(False)))
+    elif action == "clear":
+        after = without_session(memories, given["session"])
+    else:
+        raise ValueError(f"no such tool: {action}")
+    before, left = (x.agg(F.count(F.lit(1)).alias(n)) for x, n in ((memories, "before"), (after, "left")))
+    return after, before.join(left, F.lit(True)).select((F.col("before") - F.col("left")).alias("gone"))

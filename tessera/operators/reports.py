@@ -84,7 +84,7 @@ def embed_symbols(symbols: DataFrame, dims: int = 256, embed: Callable[[list[str
             for lo in range(0, len(p), batch):
                 part = p["t"].iloc[lo : lo + batch].tolist()
                 try:
-                    vectors += [[float(x) for x in v] for v in (embed(part) if embed else (hashed_embedding(t, dims) for t in part))]
+                    vectors += [None if v is None else [float(x) for x in v] for v in (embed(part) if embed else (hashed_embedding(t, dims) for t in part))]
                 except Exception:  # isolated: one batch
                     vectors += [None] * len(part)
             yield pd.DataFrame({"fqn": p["fqn"], "vector": vectors})

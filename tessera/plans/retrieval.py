@@ -393,3 +393,36 @@ def j13_memory_repository(spark, d):
 @_q("SELECT count(*) AS n FROM agent_memories")
 def a07_memory_count(spark, d):
     return _memories(spark, d).agg(F.count(F.lit(1)).alias("n"))
+
+
+_NEW = (("n1", "Keeps the newest key.", " Global", None, "note", 0.5), ("n2", "x", "project", " ", "note", 0.5), ("n3", "x", "odd", None, None, 0.5), ("n4", "x", "global", None, "gossip", 0.5), ("n5", " ", "global", None, None, 0.5), ("n6", "x", "session", "s", None, 1.5))
+
+
+@_q("SELECT * FROM (VALUES ('n1', NULL), ('n2', 'scope_id'), ('n3', 'scope'), ('n4', 'topic'), ('n5', 'content'), ('n6', 'importance')) AS t(id, reason)")
+def m09_save_tool(spark, d):
+    """M1, M9: what the save tool answers, row by row."""
+    m = _memories(spark, d)
+    new = spark.createDataFrame(list(_NEW), "id string, content string, scope string, scope_id string, topic string, importance float")
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in m.schema.fields if f.name not in new.columns]
+    after, answer = M.tool(m, "save", _now(), rows=new.select("*", *rest))
+    assert after.columns == m.columns
+    return answer
+
+
+@_q("SELECT count(*) AS gone FROM agent_memories WHERE lower(trim(scope)) = 'session' AND scope_id = (SELECT min(scope_id) FROM agent_memories WHERE lower(trim(scope)) = 'session')")
+def m09_clear_tool(spark, d):
+    m = _memories(spark, d)
+    sid = m.where(M.scope() == "session").agg(F.min("scope_id")).first()[0]
+    return M.tool(m, "clear", _now(), session=sid)[1]
+
+
+@_q(f"WITH {_SCORED} SELECT id FROM s WHERE NOT coalesce(score < 0.1, false)")
+def m08_reaper(spark, d):
+    """M8: the table after one turn of the reaper."""
+    from tessera.operators.store import VersionedTable
+    from tessera.session import scratch_dir
+
+    kept = VersionedTable(spark, scratch_dir(spark, "memories"))
+    kept.write(_memories(spark, d))
+    M.reaper(kept, now=_now(), once=True).awaitTermination()
+    return kept.read().select("id")

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from tessera.operators import graph as G
 from tessera.operators import reports as R
 from tessera.plans import texts
-from tessera.plans.graphs import LIVE, busiest, edges, symbols
-from tessera.plans.retrieval import _query_vector
+from tessera.plans.graphs import _NOISE, LIVE, busiest, edges, symbols
+from tessera.plans.retrieval import _query_vector, _search_sql
+from tessera.session import scratch_dir
 from tessera.streaming import watch as T
+from tessera.streaming.progress import Progress, follow
 from tessera.tables import live_rows, micros, table
 
 QUERIES: dict = {}
@@ -109,10 +111,42 @@ def t07_project_root(spark, d):
     return T.project_roots(files, one.union(two).distinct())
 
 
+_PHASES = (("scan", 0, 0, None), ("parse", 3, 10, None), ("parse", 10, 10, None), ("done", 10, 10, "10 files"))
+
+
+@_q(texts._values("run_id, seq, phase, done, total, message", *[("r1", i, *p) for i, p in enumerate(_PHASES)]))
+def t11_progress(spark, d):
+    """The events of a run, followed as a stream."""
+    folder = scratch_dir(spark, "progress")
+    told = Progress(spark, folder, "r1")
+    for p in _PHASES:
+        told.tell(*p)
+    return T.collected(follow(spark, folder))
+
+
 # ---- reports ----
 
 
-@_q("")
+_FROM = "(SELECT f FROM x)"
+_NARROW = "NOT starts_with(fqn, 'System.') AND NOT starts_with(fqn, 'Microsoft.')"
+
+
+def _page_sql(section: str, body: str) -> str:
+    return f"(SELECT '{section}' AS section, fqn FROM (SELECT DISTINCT fqn FROM ({body})) WHERE {_NARROW} ORDER BY fqn LIMIT 10)"
+
+
+@_q(f"""WITH {LIVE}, hits AS (SELECT * FROM ({_search_sql("the newest throws")}) WHERE place <= 10),
+x AS (SELECT fqn AS f FROM hits JOIN live USING (fqn) WHERE lower(kind) IN ('class', 'interface', 'method', 'record', 'struct', 'function') ORDER BY place LIMIT 1),
+own AS (SELECT f, regexp_extract(CASE WHEN instr(f, '(') > 1 THEN split_part(f, '(', 1) ELSE f END, '(?s)^(.*)\.[^.]*$', 1) AS owner, regexp_extract(CASE WHEN instr(f, '(') > 1 THEN split_part(f, '(', 1) ELSE f END, '[^.]*$') AS name FROM x),
+i AS (SELECT DISTINCT to_fqn AS i FROM e, own WHERE type = 'Implements' AND contains(from_fqn, owner)),
+iface AS (SELECT a.from_fqn AS fqn FROM e a, i, own WHERE a.type = 'Calls' AND owner <> '' AND contains(a.to_fqn, i) AND NOT contains(a.from_fqn, i)
+  AND regexp_extract(CASE WHEN instr(a.to_fqn, '(') > 1 THEN split_part(a.to_fqn, '(', 1) ELSE a.to_fqn END, '[^.]*$') = name)
+SELECT 'symbol' AS section, f AS fqn FROM x
+UNION ALL {_page_sql("callers", f"SELECT from_fqn AS fqn FROM e WHERE type = 'Calls' AND (to_fqn = {_FROM} OR starts_with(to_fqn, {_FROM} || '(')) UNION ALL SELECT fqn FROM iface")}
+UNION ALL {_page_sql("dependencies", f"SELECT to_fqn AS fqn FROM e WHERE type IN ('DependsOn', 'UsesType', 'References') AND from_fqn = {_FROM} AND NOT {_NOISE.replace('fqn', 'to_fqn')}")}
+UNION ALL {_page_sql("callees", f"SELECT to_fqn AS fqn FROM e WHERE type = 'Calls' AND (from_fqn = {_FROM} OR starts_with(from_fqn, {_FROM} || '(')) AND NOT {_NOISE.replace('fqn', 'to_fqn')}")}
+UNION ALL {_page_sql("implementations", f"SELECT from_fqn AS fqn FROM e WHERE type = 'Implements' AND (to_fqn = {_FROM} OR starts_with(to_fqn, {_FROM} || '<'))")}
+UNION ALL {_page_sql("referenced_by", f"SELECT from_fqn AS fqn FROM e WHERE type = 'References' AND to_fqn = {_FROM}")}""")
 def g19_explore(spark, d):
     return R.explore(symbols(spark, d), edges(spark, d), "the newest throws", deep=True)
 
@@ -152,7 +186,11 @@ def x29_embeddings(spark, d):
     return out.select("fqn", F.size("vector").alias("dims"), F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), 3).alias("length"))
 
 
-@_q("")
+_PLAIN = """array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(documentation, '^\\s*/\\*+', ''), '\\*+/\\s*$', ''), '\\r?\\n'),
+  lambda x: trim(regexp_replace(x, '^\\s*(?:\\*+|///?)?\\s?', ''), ' ')), lambda x: x <> '' AND NOT starts_with(x, '@')), ' ')"""
+
+
+@_q(f"WITH {LIVE}, p AS (SELECT fqn, {_PLAIN} AS t FROM live WHERE lower(kind) IN ('method', 'function')) SELECT fqn, nullif(substring(regexp_extract(t, '(?s)^(.*?[.!?])(?:\\s|$)', 1), 1, 200), '') AS summary FROM p")
 def x28_summaries(spark, d):
     s = live_rows(table(spark, d, "code_symbols"), "kind", "signature", "documentation")
     return R.summarized(s)

@@ -6,6 +6,9 @@ small literal files, the same on both sides.
 
 from __future__ import annotations
 
+import io
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,12 +103,6 @@ def x09_resolved_edges(spark, d):
     return E.resolve_calls(E.resolve_imports(e, s.select(F.col("path").alias("module"))), s).drop("metadata")
 
 
-@_q("SELECT id, coalesce(regexp_matches(name, '^[tT]est'), false) AS named_test, coalesce(is_test_method, false) AS marked_test FROM code_symbols")
-def x24_test_names(spark, d):
-    """Test methods by name, beside what the table says."""
-    return table(spark, d, "code_symbols").select("id", F.coalesce(F.col("name").rlike("^[tT]est"), F.lit(False)).alias("named_test"), F.coalesce("is_test_method", F.lit(False)).alias("marked_test"))
-
-
 # ---- code in several languages, literal ----
 
 
@@ -311,6 +308,40 @@ def src01_src05_scan(spark, d):
     return S.source_files(_files(spark, *_TREE), ignore).select("path")
 
 
+def _zip(*members: tuple[str, str]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in members:
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+_UPLOADS = (("one.zip", _zip(("src/a.ts", "export class A {}"), ("src/", ""), ("../up.ts", "x"), ("/abs.ts", "x"), ("docs/empty.md", ""), ("w\\b.py", "def f(): pass\n"))), ("none.zip", b"no archive"), ("null.zip", None))
+
+
+@_q(_values("archive, path, length, failed", ("one.zip", "src/a.ts", 17, False), ("one.zip", "w/b.py", 14, False), ("none.zip", None, None, True)))
+def src14_zip_upload(spark, d):
+    """Uploaded archives; what would leave its folder is left out, a broken archive tells so."""
+    found = S.unzipped(spark.createDataFrame(list(_UPLOADS), "name string, data binary"), "name", "data")
+    return found.select("archive", "path", "length", F.col("error").isNotNull().alias("failed"))
+
+
+_PAYLOADS = (
+    '{"project_name": "p", "symbols": [{"fqn": "a.b", "name": "b", "kind": "class"}, {"fqn": " ", "name": "x"}], "relationships": [{"from_fqn": "a.b", "to_fqn": "c", "type": "Calls"}, {"from_fqn": "a", "to_fqn": "c", "type": "Odd"}], "file_hashes": {"f.py": "AA"}}',
+    '{"project_name": "q", "symbols": [], "file_hashes": {}}',
+    '{"project_name": "r", "file_hashes": {"g.py": "BB", "h.py": null}}',
+)
+
+
+@_q(_values("part, a, b, c", ("symbol", "a.b", "b", "class"), ("edge", "a.b", "c", "Calls"), ("edge", "a", "c", "References"), ("hash", "p", "f.py", "AA"), ("hash", "r", "g.py", "BB"), ("hash", "r", "h.py", None)))
+def src15_ingest(spark, d):
+    """Uploaded metadata as symbols, edges and hashes."""
+    raw = spark.createDataFrame([(x,) for x in _PAYLOADS], "j string").select(F.from_json("j", S.INGEST).alias("p")).select("p.*")
+    s, e, h = S.ingested(raw)
+    row = lambda df, part, *cols: df.select(F.lit(part).alias("part"), *[F.col(c).alias(n) for c, n in zip(cols, "abc", strict=True)])
+    return row(s, "symbol", "fqn", "name", "kind").unionByName(row(e, "edge", "from_fqn", "to_fqn", "type")).unionByName(row(h, "hash", "project_name", "file_path", "content_hash"))
+
+
 @_q(_values("pattern", ("*.generated.cs",), ("docs/legacy",), ("tmp",)))
 def src04_ignore_file(spark, d):
     return S.ignore_patterns(_files(spark, (".ignore", "# c\n*.generated.cs\n docs/legacy/ \n\ntmp\n")))

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +37,45 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     return raw.select(rel.alias("path"), F.decode("content", "UTF-8").alias("content"), "length", F.upper(F.sha2(F.col("content"), 256)).alias("content_hash"))
 
 
+#: Bytes that an uploaded archive, and all that it unpacks to, may have.
+ZIP_BYTES = 50 << 20
+
+
+def unzipped(archives: DataFrame, name: str, data: str, max_bytes: int = ZIP_BYTES) -> DataFrame:
+    """The files of uploaded zip archives as :data:`FILES`, with archive and error.
+
+    ``archives``: a name and the bytes, as ``binaryFile`` reads them. Each
+    archive is unpacked by itself where it is. Members that would leave the
+    archive's folder (absolute, or with ``..``), directories and empty files are
+    left out. An archive that is too large, packed or unpacked, or is none gives
+    one row with its error and no path.
+    """
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in pdfs:
+            rows: list[tuple] = []
+            for archive, raw in zip(p["archive"], p["raw"], strict=True):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                        members = [m for m in z.infolist() if not m.is_dir() and m.file_size]
+                        if len(raw) > max_bytes or sum(m.file_size for m in members) > max_bytes:
+                            raise ValueError("the archive is too large")
+                        for m in members:
+                            path = m.filename.replace("\\", "/")
+                            if path.startswith("/") or ":" in path or ".." in path.split("/"):
+                                continue
+                            body = z.read(m)
+                            rows.append((archive, path, body.decode("utf-8", "replace"), len(body), hashlib.sha256(body).hexdigest().upper(), None))
+                except (zipfile.BadZipFile, ValueError, RuntimeError, NotImplementedError) as e:
+                    rows.append((archive, None, None, None, None, str(e)))
+            out = pd.DataFrame(rows, columns=["archive", "path", "content", "length", "content_hash", "error"])
+            out["length"] = out["length"].astype("Int64")
+            yield out
+
+    some = archives.where(F.col(data).isNotNull()).select(F.col(name).cast("string").alias("archive"), F.col(data).alias("raw"))
+    return some.mapInPandas(run, "archive string, path string, content string, length long, content_hash string, error string")
+
+
 def rooted(path: Column | str) -> Column:
     """A relative path with a slash before it, so that every part of it stands between slashes."""
     return F.concat(F.lit("/"), X.slashes(path))

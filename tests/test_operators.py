@@ -287,3 +287,23 @@ def test_calls_follow_imports(spark):
     s, e = E.symbols_of(rows), E.edges_of(rows)
     out = E.resolve_calls(E.resolve_imports(e, s.select(F.col("path").alias("module"))), s).where("type = 'Calls'")
     assert {r["to_fqn"] for r in out.collect() if r["from_fqn"] == "a.ts:own"} == {"lib/b.ts:run", "lib/b.ts:stop", "a.ts:own", "c.ts:rare", "twice"}
+
+
+def test_embedder_retries_and_halves():
+    from tessera.sources.services import embedder
+
+    calls, waits = [], []
+
+    def post(url, body, headers):
+        calls.append(len(body["input"]))
+        if len(calls) == 1:
+            raise OSError("away")
+        if "bad" in body["input"]:
+            raise ValueError("refused")
+        return {"embeddings": [[float(len(t))] for t in body["input"]]}
+
+    got = embedder("local", "http://x", "m", batch=4, tries=2, post=post, sleep=waits.append)(["a", "bb", "bad", "dddd", "e"])
+    assert got == [[1.0], [2.0], None, [4.0], [1.0]] and waits[0] == 0.5 and calls[:2] == [4, 4]
+    hosted = embedder("hosted", "u", "m", post=lambda u, b, h: {"data": [{"index": 1, "embedding": [2.0]}, {"index": 0, "embedding": [1.0]}]})
+    assert hosted(["a", "b"]) == [[1.0], [2.0]]
+    assert embedder("vertex", "u", "m", post=lambda u, b, h: {"predictions": [{"embeddings": {"values": [3.0]}}]})(["a"]) == [[3.0]]
