@@ -144,14 +144,20 @@ def _plain_words(s: str) -> list[str]:
     return [w for w in re.findall(r"[^\W]+", s.lower()) if w not in STOP_WORDS]
 
 
-def tiered_search(symbols: DataFrame, query: str, limit: int = 20) -> DataFrame:
+def tiered_search(symbols: DataFrame, query: str, limit: int = 20, index: DataFrame | None = None) -> DataFrame:
     """Place, fqn, score, tier of the first tier that finds anything: all words, any prefix, any substring.
 
     The tiers are one plan: rows keep the lowest tier that has any row. A blank
-    query finds nothing. Ties: shorter name, then fqn.
+    query finds nothing. Ties: shorter name, then fqn. With an ``index``
+    (:func:`tessera.operators.textindex.build`) of the symbols the first two
+    tiers compare stems and rank by number and nearness of matches, and read the
+    lists of the query's terms alone.
     """
+    from tessera.operators import textindex
+
     names = symbols.select("fqn", F.length("name").alias("_len"))
-    tiers = [and_tier(symbols, query), or_tier(symbols, query), ilike_tier(symbols, query).select("fqn", "score")]
+    by_words = (and_tier(symbols, query), or_tier(symbols, query)) if index is None else (textindex.and_tier(index, query), textindex.or_tier(index, query))
+    tiers = [*by_words, ilike_tier(symbols, query).select("fqn", "score")]
     every = reduce(DataFrame.unionByName, [t.withColumn("tier", F.lit(i + 1)) for i, t in enumerate(tiers)])
     lowest = every.agg(F.min("tier").alias("_low"))
     kept = every.join(F.broadcast(lowest), F.col("tier") == F.col("_low")).join(names, "fqn")

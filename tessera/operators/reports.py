@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,18 +108,44 @@ def summarized(symbols: DataFrame, summarize: Callable[[str], str | None] | None
     return rows.select("fqn", "t").mapInPandas(run, "fqn string, summary string")
 
 
-def ann_lsh(vectors: DataFrame, key: str, vector: str, query: list[float], limit: int = 10, tables: int = 8, bucket: float = 0.5) -> DataFrame:
-    """Key, score of the rows near a query vector by random projections on unit vectors; candidates are scored exactly."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
-
-    v = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    usable = vectors.where(F.size(vector) == len(query)).select(key, v.alias("v"), norm.alias("n")).where((F.col("n") > 0) & ~F.isnan("n") & (F.col("n") < float("inf")))
-    unit = usable.select(key, array_to_vector(F.coalesce(F.transform("v", lambda x: x / F.col("n")), F.array_repeat(F.lit(0.0), len(query)))).alias("u"))
-    q = np.array(query, float)
-    q = q / np.linalg.norm(q)
-    model = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", numHashTables=tables, bucketLength=bucket, seed=7).fit(unit)
-    near = model.approxNearestNeighbors(unit, Vectors.dense(q), limit)
-    return near.select(key, F.round(1 - F.col("distCol") * F.col("distCol") / 2, 6).alias("score"))
+#: Bits of a signature, and candidates of a query whose vectors are compared exactly.
+SIGNATURE_BITS, CANDIDATES = 512, 100
+
+
+def _planes(dims: int, bits: int) -> np.ndarray:
+    return np.random.default_rng(7).normal(size=(dims, bits)).astype(np.float32)
+
+
+def signature_index(vectors: DataFrame, key: str, vector: str, dims: int, bits: int = SIGNATURE_BITS) -> DataFrame:
+    """Key, vector, signature: on which side of random planes each usable vector lies, a bit for each plane; no shuffle.
+
+    Vectors that are null, of another length, zero or not finite stay out.
+    """
+    planes = _planes(dims, bits)
+
+    def sign(v: pa.Array) -> pa.Array:
+        usable = pc.fill_null(pc.equal(pc.list_value_length(v), dims), False).to_numpy(zero_copy_only=False)
+        x = v.filter(pa.array(usable)).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dims)
+        good = np.isfinite(x).all(1) & (x != 0).any(1)
+        codes = np.packbits(np.where(good[:, None], x, 0) @ planes > 0, axis=1)
+        out: list[bytes | None] = [None] * len(v)
+        for i, ok, c in zip(np.flatnonzero(usable), good, codes, strict=True):
+            out[i] = c.tobytes() if ok else None
+        return pa.array(out, pa.binary())
+
+    return vectors.select(key, vector, F.arrow_udf(sign, "binary")(vector).alias("signature")).where(F.col("signature").isNotNull())
+
+
+def ann_top(index: DataFrame, key: str, vector: str, query: list[float], limit: int = 10, width: int = CANDIDATES, bits: int = SIGNATURE_BITS) -> DataFrame:
+    """Key, score of the rows near a query vector: the ``width`` nearest by signature are compared exactly.
+
+    Each task keeps its own ``width`` rows; signatures are a fiftieth of the vectors' bytes.
+    """
+    code = np.packbits(np.array(query, np.float32) @ _planes(len(query), bits) > 0)
+
+    def apart(s: pa.Array) -> pa.Array:
+        x = np.frombuffer(b"".join(s.to_pylist()), np.uint8).reshape(-1, len(code))
+        return pa.array(np.bitwise_count(x ^ code).sum(1, dtype=np.int32), pa.int32())
+
+    near = index.withColumn("_d", F.arrow_udf(apart, "int")("signature")).orderBy("_d", key).limit(width)
+    return L.vector_top(near, key, vector, query, limit)

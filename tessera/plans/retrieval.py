@@ -90,6 +90,15 @@ def r01_tiered_substring(spark, d):
     return L.tiered_search(symbols(spark, d), SUBSTRING)
 
 
+@_q("")
+def r01_stemmed(spark, d):
+    """R1 to R3 over a stored index of stems, ranked by weight, number and nearness."""
+    from tessera.operators import textindex
+
+    s = symbols(spark, d)
+    return L.tiered_search(s, "newest throwing", index=textindex.build(s))
+
+
 _STOP = ", ".join(f"'{w}'" for w in L.STOP_WORDS)
 _TOK = f"list_filter(regexp_split_to_array(text, '[\\s,;:()\\[\\]{{}}\"'']+'), lambda t: t <> '')"
 

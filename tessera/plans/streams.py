@@ -197,8 +197,11 @@ def x28_summaries(spark, d):
 
 
 @_q("")
-def r07_lsh_top(spark, d):
-    return R.ann_lsh(table(spark, d, "agent_memories"), "id", "embedding", _query_vector(spark, d))
+def r07_approximate_top(spark, d):
+    """A hundred candidates by signature, compared exactly; the vectors of live symbols and memories."""
+    s = live_rows(table(spark, d, "code_symbols"), "embedding").select(F.col("fqn").alias("key"), "embedding")
+    every = s.unionByName(table(spark, d, "agent_memories").select(F.col("id").alias("key"), "embedding"))
+    return R.ann_top(R.signature_index(every, "key", "embedding", 768), "key", "embedding", _query_vector(spark, d))
 
 
 @_q("WITH RECURSIVE " + LIVE + ", x AS (SELECT (SELECT from_fqn FROM e WHERE type = 'Calls' GROUP BY from_fqn ORDER BY count(*) DESC, from_fqn LIMIT 1) AS f), w AS (SELECT to_fqn AS fqn, 1 AS dist FROM e, x WHERE type IN ('Calls', 'UsesType', 'References') AND from_fqn = f UNION SELECT e.to_fqn, w.dist + 1 FROM w JOIN e ON e.from_fqn = w.fqn AND type IN ('Calls', 'UsesType', 'References') WHERE w.dist < 4) SELECT fqn, min(dist) AS dist FROM w GROUP BY fqn")

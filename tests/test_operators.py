@@ -307,3 +307,50 @@ def test_embedder_retries_and_halves():
     hosted = embedder("hosted", "u", "m", post=lambda u, b, h: {"data": [{"index": 1, "embedding": [2.0]}, {"index": 0, "embedding": [1.0]}]})
     assert hosted(["a", "b"]) == [[1.0], [2.0]]
     assert embedder("vertex", "u", "m", post=lambda u, b, h: {"predictions": [{"embeddings": {"values": [3.0]}}]})(["a"]) == [[3.0]]
+
+
+def test_stems():
+    from tessera.functions.stem import stem
+
+    # words and stems that the algorithm's description gives
+    pairs = "caresses caress ponies poni ties ti caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration valenci valenc digitizer digit operator oper feudalism feudal decisiveness decis hopefulness hope formaliti formal sensibiliti sensibl triplicate triplic formative form formalize formal electrical electr goodness good revival reviv allowance allow inference infer airliner airlin adjustable adjust defensible defens irritant irrit replacement replac adjustment adjust dependent depend adoption adopt homologou homolog communism commun activate activ effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll".split()
+    assert [(w, stem(w)) for w in pairs[::2]] == list(zip(pairs[::2], pairs[1::2], strict=True))
+
+
+def test_ranks_by_number_and_nearness():
+    from tessera.operators import textindex as I
+
+    assert round(I.term_score([0.1]), 7) == 0.0607927 and round(I.near_score([[1], [2]], [[0.1], [0.1]]), 7) == 0.0991032
+    assert I.term_score([0.1, 1.0]) > I.term_score([1.0]) > I.term_score([0.1, 0.1])
+    assert I.near_score([[1], [2]], [[1], [1]]) > I.near_score([[1], [9]], [[1], [1]]) > I.near_score([[1], [300]], [[1], [1]])
+
+
+def test_stemmed_search(spark):
+    from tessera.operators import textindex as I
+
+    rows = [
+        ("a.LoadPages", "LoadPages", "LoadPages()", "Loads the newest pages."), ("b.Page", "Page", None, "Throws pages away while loading."), ("c.Other", "Other", "Other(int)", None), ("d.Loader", "Loader", "Loader()", "x " * 200 + "page"),
+        ("e.Empty", None, None, None), (None, "LoadPage", None, None),
+    ]
+    s = spark.createDataFrame(rows, "fqn string, name string, signature string, documentation string").withColumn("term", F.lit("clash"))
+    index = I.build(s)
+    find = lambda q: [(r["fqn"], r["tier"]) for r in L.tiered_search(s, q, index=index).orderBy("place").collect()]
+    assert find("loading page") == [("a.LoadPages", 1), ("b.Page", 1), ("d.Loader", 1)] or find("loading page")[:2] == [("a.LoadPages", 1), ("b.Page", 1)]
+    assert [f for f, _ in find("newest zzz")] == ["a.LoadPages"] and find("newest zzz")[0][1] == 2
+    assert find("Othe") == [("c.Other", 3)] and find("  ") == []
+
+
+def test_approximate_neighbours_reach_their_recall(spark):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    x = (r.normal(size=(60, 64))[r.integers(0, 60, 3000)] + 0.5 * r.normal(size=(3000, 64))).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9001, None), (9002, [1.0]), (9003, [0.0] * 64), (9004, [float("nan")] * 64)]
+    index = R.signature_index(spark.createDataFrame(rows, "key long, v array<float>"), "key", "v", 64).cache()
+    assert index.count() == 3000
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    shares = []
+    for q in r.integers(0, 3000, 8):
+        true = set(np.argsort(-(u @ u[q]))[:10].tolist())
+        shares.append(len(true & {t["key"] for t in R.ann_top(index, "key", "v", x[q].tolist()).collect()}) / 10)
+    assert np.mean(shares) >= 0.9
