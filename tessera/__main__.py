@@ -1,8 +1,9 @@
-"""python -m tessera index DIR STORE | status STORE | search STORE QUERY | callers STORE FQN [DEPTH] | export STORE OUT"""
+"""python -m tessera index DIR STORE | status STORE | search STORE [--vector] [--expand] QUERY | callers STORE FQN [DEPTH] | export STORE OUT"""
 
 from __future__ import annotations
 
 import sys
+import time
 
 from pyspark.sql import functions as F
 
@@ -10,9 +11,11 @@ from tessera.operators import graph as G
 from tessera.operators import lexical as L
 from tessera.operators import reports as R
 from tessera.operators import store as W
+from tessera.operators import textindex as X
 from tessera.session import build_session, ship
 from tessera.sources import extract as E
 from tessera.sources import files as S
+from tessera.streaming.progress import Progress
 
 
 def _nodes(symbols):
@@ -32,6 +35,9 @@ def main(args: list[str]) -> int:
         known = tables["hashes"].read()
         changed = files if known is None else files.join(known.select("path", "content_hash"), ["path", "content_hash"], "left_anti")
         gone = None if known is None else known.join(files.select("path"), "path", "left_anti")
+        told = Progress(spark, f"{at.rstrip('/')}/progress", time.strftime("%Y%m%dT%H%M%S"))
+        n = changed.count()
+        told.tell("scan", n, n)
         rows = E.extract(changed)
         for name, new in (("symbols", E.symbols_of(rows)), ("edges", E.edges_of(rows))):
             old = tables[name].read()
@@ -39,8 +45,10 @@ def main(args: list[str]) -> int:
                 stale = changed.select("path").unionByName(gone.select("path"))
                 new = old.join(stale, "path", "left_anti").unionByName(new)
             tables[name].write(new)
+            told.tell(name, n, n)
         tables["hashes"].write(files.select("path", "content_hash"))
-        print(f"{changed.count()} files taken up, {tables['symbols'].read().count()} symbols, {tables['edges'].read().count()} edges")
+        told.tell("done", n, n)
+        print(f"{n} files taken up, {tables['symbols'].read().count()} symbols, {tables['edges'].read().count()} edges")
         return 0
     symbols, edges = tables["symbols"].read(), tables["edges"].read()
     if symbols is None:
@@ -50,7 +58,14 @@ def main(args: list[str]) -> int:
     if command == "status":
         nodes.groupBy("kind").count().orderBy("kind").show(100, truncate=False)
     elif command == "search":
-        hits = L.tiered_search(nodes, " ".join(args[2:])).join(nodes.drop("score"), "fqn").withColumn("source", F.lit("bm25"))
+        query = " ".join(a for a in args[2:] if not a.startswith("--"))
+        if "--vector" in args or "--expand" in args:
+            vectors = R.embed_symbols(nodes).withColumnRenamed("vector", "embedding")
+            embed = (lambda q: R.hashed_embedding(q, 256).tolist()) if "--vector" in args else (lambda q: None)
+            variants = (lambda q: [q, *L.phrasings(q)]) if "--expand" in args else None
+            hits = L.hybrid(nodes, vectors, query, embed, variants=variants).join(nodes, "fqn")
+        else:
+            hits = L.tiered_search(nodes, query, index=X.build(nodes)).join(nodes, "fqn").withColumn("source", F.lit("bm25"))
         print("\n".join(r["entry"] for r in L.compress(hits).orderBy("place").collect()))
     elif command == "callers":
         found = G.callers(edges, nodes, args[2], int(args[3]) if len(args) > 3 else 1)

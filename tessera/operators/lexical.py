@@ -7,6 +7,7 @@ weights of the fields in which each term occurs.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -139,8 +140,6 @@ def ilike_tier(symbols: DataFrame, query: str) -> DataFrame:
 
 
 def _plain_words(s: str) -> list[str]:
-    import re
-
     return [w for w in re.findall(r"[^\W]+", s.lower()) if w not in STOP_WORDS]
 
 
@@ -258,6 +257,13 @@ def hybrid(
     return rrf(lists, "fqn", limit)
 
 
+def phrasings(query: str) -> list[str]:
+    """R13 without a model: the query's names split into words, and its terms without the rest."""
+    terms = split_terms(query)
+    split = " ".join(re.sub(r"(?<=[a-z0-9])(?=[A-Z])|[._]", " ", t) for t in terms)
+    return [q for q in dict.fromkeys((split, " ".join(terms))) if q and q != query]
+
+
 def _attempt(call: Callable):
     """What ``call`` gives, None if it fails: services beside a search may be away."""
     try:

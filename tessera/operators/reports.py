@@ -109,7 +109,7 @@ def summarized(symbols: DataFrame, summarize: Callable[[str], str | None] | None
 
 
 #: Bits of a signature, and candidates of a query whose vectors are compared exactly.
-SIGNATURE_BITS, CANDIDATES = 512, 100
+SIGNATURE_BITS, CANDIDATES = 4096, 100
 
 
 def _planes(dims: int, bits: int) -> np.ndarray:
@@ -139,7 +139,7 @@ def signature_index(vectors: DataFrame, key: str, vector: str, dims: int, bits:
 def ann_top(index: DataFrame, key: str, vector: str, query: list[float], limit: int = 10, width: int = CANDIDATES, bits: int = SIGNATURE_BITS) -> DataFrame:
     """Key, score of the rows near a query vector: the ``width`` nearest by signature are compared exactly.
 
-    Each task keeps its own ``width`` rows; signatures are a fiftieth of the vectors' bytes.
+    Each task keeps its own ``width`` rows; a signature has a sixth of the bytes of a vector of 768 floats.
     """
     code = np.packbits(np.array(query, np.float32) @ _planes(len(query), bits) > 0)
 
