@@ -127,7 +127,8 @@ def _solve(links: DataFrame, with_trail: bool, capacity: int, parts: int, level:
     local = materialize(spread.mapInPandas(_contract(with_trail), _PARTS), f"fragments-{level}")
     leaving = local.where(F.col("looped") == F.lit(False))
     exits = leaving.groupBy("exit").agg(F.count(F.lit(1)).alias("n"))
-    quotient = local.join(exits.select(F.col("exit").alias("node")), "node", "left_semi").select(
+    # both sides grow with the nodes, so neither is ever broadcast
+    quotient = local.join(exits.select(F.col("exit").alias("node")).hint("merge"), "node", "left_semi").select(
         "node", F.when(F.col("looped") == F.lit(False), F.col("exit")).alias("parent"), "steps", "looped", "trail", F.col("exit").alias("end")
     )
     quotient = materialize(quotient, f"quotient-{level}")
@@ -139,7 +140,7 @@ def _solve(links: DataFrame, with_trail: bool, capacity: int, parts: int, level:
     ends = quotient.where(F.col("parent").isNull()).select(F.col("node").alias("root"), F.col("end").alias("_end"), F.col("steps").alias("_more"), F.col("trail").alias("_rest"))
     # what lies above an exit: the way to its quotient root, then from there to its own root
     hot_roots = materialize(hot_keys(above.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root", "n", n), "hot-roots")
-    solved = hot_join(above.where(F.col("root").isNotNull()), ends, ["root"], "root", hot_roots)
+    solved = hot_join(above.where(F.col("root").isNotNull()), ends, ["root"], "root", hot_roots, grows=True)
     join_trails = lambda a, b: F.concat(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>")))
     solved = solved.select(
         F.col("node").alias("exit"),
@@ -149,7 +150,7 @@ def _solve(links: DataFrame, with_trail: bool, capacity: int, parts: int, level:
     )
     solved = materialize(solved, f"solved-{level}")
     hot_exits = materialize(hot_keys(exits, "exit", "n", n), "hot-exits")
-    below = hot_join(leaving, solved, ["exit"], "exit", hot_exits, "left")
+    below = hot_join(leaving, solved, ["exit"], "exit", hot_exits, "left", grows=True)
     trail = F.when(F.col("_root").isNotNull(), join_trails(F.concat(F.col("trail"), F.array("exit")), F.col("_trail"))) if with_trail else F.lit(None).cast("array<string>")
     below = below.select("node", F.col("_root").alias("root"), F.when(F.col("_root").isNotNull(), F.col("steps") + F.col("_depth")).otherwise(F.lit(-1)).alias("depth"), trail.alias("trail"))
     return local.where(F.col("looped").isNull() | F.col("looped")).select(*done).unionByName(below)
@@ -167,7 +168,7 @@ def solve_forest(links: DataFrame, with_path: bool = False, capacity: int = FRAG
     """
     base = materialize(links.select("node", "parent", F.lit(1).cast("long").alias("steps"), F.lit(None).cast("array<string>").alias("trail")), "links")
     # a parent without a row of its own stands for a root
-    gaps = base.select(F.col("parent").alias("node")).where(F.col("node").isNotNull()).distinct().join(base.select("node"), "node", "left_anti")
+    gaps = base.select(F.col("parent").alias("node")).where(F.col("node").isNotNull()).distinct().join(base.select("node").hint("merge"), "node", "left_anti")
     full = base.unionByName(gaps.select("node", F.lit(None).cast("string").alias("parent"), F.lit(1).cast("long").alias("steps"), F.lit(None).cast("array<string>").alias("trail")))
     out = _solve(full, with_path, capacity, parts or shuffle_partitions(links.sparkSession), 0)
     cols: list[Column] = [F.col("node").alias("fqn"), F.coalesce("root", F.lit("")).alias("root_fqn"), F.when(F.col("root").isNull(), F.lit(-1)).otherwise(F.col("depth")).cast("int").alias("node_depth")]
