@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.session import bounded, is_small, materialize
+from tessera.session import BROADCAST_ROWS, bounded, is_small, materialize, release
 from tessera.tables import blank
 
 #: Levels after which a traversal writes what it has seen, so that the plan stays short.
@@ -120,8 +120,13 @@ def interface_callers(edges: DataFrame, nodes: DataFrame, fqn: str) -> DataFrame
         return edges.select(F.col("from_fqn").alias("fqn")).limit(0)
     ifaces = typed_edges(edges, "Implements").where(F.col("from_fqn").contains(owner)).select(F.col("to_fqn").alias("iface")).distinct()
     calls = typed_edges(edges, "Calls").where(X.method_name("to_fqn") == name)
-    hit = calls.join(bounded(ifaces), F.col("to_fqn").contains(F.col("iface")) & ~F.col("from_fqn").contains(F.col("iface")))
-    return hit.select(F.col("from_fqn").alias("fqn")).distinct()
+    # a name contains an interface's: no key to join on, so all interfaces are asked, in blocks of a proven size
+    ifaces = materialize(ifaces, "interfaces")
+    blocks = max(1, -(-ifaces.count() // BROADCAST_ROWS))
+    inside = F.col("to_fqn").contains(F.col("iface")) & ~F.col("from_fqn").contains(F.col("iface"))
+    parts = [ifaces if blocks == 1 else ifaces.where(F.pmod(F.xxhash64("iface"), F.lit(blocks)) == i) for i in range(blocks)]
+    hits = [calls.join(F.broadcast(p), inside).select(F.col("from_fqn").alias("fqn")) for p in parts]
+    return reduce(DataFrame.unionByName, hits).distinct()
 
 
 def _split_member(fqn: str) -> tuple[str, str]:
@@ -338,12 +343,13 @@ def _split_off(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     back to that fqn inside the colour is its strong component.
     """
     ends = endpoints(e)
-    colour = materialize(ends.select("fqn", F.col("fqn").alias("colour")), "cycle-colour")
+    kept = colour = materialize(ends.select("fqn", F.col("fqn").alias("colour")), "cycle-colour")
     while True:
         told = e.join(colour, e["from_fqn"] == colour["fqn"]).select(F.col("to_fqn").alias("fqn"), F.col("colour").alias("told")).groupBy("fqn").agg(F.max("told").alias("told"))
         new = colour.join(told, "fqn", "left").select("fqn", F.greatest("colour", "told").alias("colour"), (F.col("told") > F.col("colour")).alias("moved"))
         new = materialize(new, "cycle-colour")
-        colour = new.select("fqn", "colour")
+        release(kept)
+        kept, colour = new, new.select("fqn", "colour")
         if new.where("moved").limit(1).count() == 0:
             break
     a, b = colour.toDF("from_fqn", "colour"), colour.toDF("to_fqn", "colour2")
@@ -352,7 +358,8 @@ def _split_off(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     while front.limit(1).count():
         front = same.join(front.toDF("to_fqn"), "to_fqn", "left_semi").select(F.col("from_fqn").alias("fqn")).distinct().join(seen, "fqn", "left_anti")
         front = materialize(front, "cycle-front")
-        seen = materialize(seen.unionByName(front), "cycle-back")
+        before, seen = seen, materialize(seen.unionByName(front), "cycle-back")
+        release(before)
     kept = same.join(seen.toDF("from_fqn"), "from_fqn", "left_semi").join(seen.toDF("to_fqn"), "to_fqn", "left_semi")
     hit = kept.select(F.col("from_fqn").alias("fqn"), "colour").distinct()
     hit = hit.join(hit.groupBy("colour").agg(F.min("fqn").alias("component")), "colour").select("fqn", "component")

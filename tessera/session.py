@@ -103,6 +103,18 @@ def release(*dfs: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def release_all(spark: SparkSession) -> None:
+    """Delete everything that was materialized for the results of a session; call it once they have been read or written.
+
+    A result is lazy and reads its intermediate tables only when an action runs,
+    so nothing deletes them before; a long session calls this between queries.
+    """
+    mine = [w for w in _written if w[0] is spark]
+    _written[:] = [w for w in _written if w[0] is not spark]
+    for _, path in mine:
+        _delete(spark, path)
+
+
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Whether ``df`` has no more rows and bytes than that; it reads one row more than ``max_rows`` at most."""
     size = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
