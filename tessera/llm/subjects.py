@@ -50,7 +50,6 @@ _WORD = re.compile(r"[^\W\d_]{2,}")
 _CODE = re.compile(r"\s*(?:return|def|fn|func|function|export|public|private|import|class)\b.*[({;:]")
 # Format characters (Cf) stand below 0x20000 or among the tags.
 _INVISIBLE = {i: None for i in (*range(0x20000), *range(0xE0000, 0xE0080)) if unicodedata.category(chr(i)) == "Cf"}
-_ANY_INVISIBLE = re.compile("[" + "".join(map(chr, _INVISIBLE)) + "]")
 #: Spellings of which the words are kept at hand.
 _KNOWN_TOKENS = 500_000
 
@@ -76,10 +75,10 @@ def _sentences(text: str) -> Iterator[str]:
     if not text.isascii():
         if not unicodedata.is_normalized("NFKC", text):
             text = unicodedata.normalize("NFKC", text)
-        if _ANY_INVISIBLE.search(text):
-            text = text.translate(_INVISIBLE)
     whole: list[str] = []
     for line in text.splitlines():
+        if not line.isprintable():  # no format character is
+            line = line.translate(_INVISIBLE)
         if whole and whole[-1] and whole[-1][-1] not in ".!?:|>" and (m := _GOES_ON.match(line)):
             whole[-1] = f"{whole[-1]} {line[m.start(1) :].rstrip()}"
         else:
