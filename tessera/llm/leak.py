@@ -28,14 +28,13 @@ CHUNK_WORDS = 200_000
 _WORD = re.compile(r"[^\W_]+")
 # Format characters (Cf) stand below 0x20000 or among the tags.
 _INVISIBLE = {i: None for i in (*range(0x20000), *range(0xE0000, 0xE0080)) if unicodedata.category(chr(i)) == "Cf"}
-_ANY_INVISIBLE = re.compile("[" + "".join(map(chr, _INVISIBLE)) + "]")
 
 
 def words(text: str | None) -> list[str]:
     """The words of a text: longest runs of letters and digits in one case, after format characters (Cf) are dropped. None for null."""
     if not text:
         return []
-    if not text.isascii() and _ANY_INVISIBLE.search(text):
+    if not text.isascii() and not text.replace("\n", " ").isprintable():  # no format character is
         text = text.translate(_INVISIBLE)
     return _WORD.findall(text.lower())
 
