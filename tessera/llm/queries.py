@@ -22,6 +22,29 @@ def p1_source_pairs(spark: SparkSession, d: str) -> DataFrame:
     return comments.paired_sources(docs, "doc_id", "text").withColumnRenamed("key", "doc_id")
 
 
+#: Small source files: comments above and inside, near and far, of several forms, and heads of many lines.
+SOURCES = (
+    ("a.py", 'def keep(\n    first: int,\n    second: int,\n) -> int:\n    """Keeps the newest rows and drops the rest.\n\n    Args:\n        first: the first\n    """\n    return first\n\n\ndef _x(a):\n    """TODO"""\n\n\n# Waits until the lock is free.\nasync def wait(lock):\n    pass\n'),
+    ("b.ts", "/**\n * Sorts by age before it answers.\n * @param rows the rows\n */\nexport function sorted(rows: Row[]): Row[] {\n  return rows;\n}\n\n// Far from everything.\n\n\n\n\n\nfunction lonely() {}\n\n// eslint-disable-next-line\nfunction quiet() {}\n"),
+    ("c.go", "// Close gives the handle back to the pool.\nfunc (c *Conn) Close() error {\n\treturn nil\n}\n\n// Dial.\nfunc Dial(host string) error { return nil }\n"),
+    ("d.rs", "/// Never blocks.\npub fn poll(&self) -> bool { true }\n/// Counts\n/// each page once.\nfn count(pages: &[Page]) -> usize { 0 }\n"),
+    ("e.cs", "public class A {\n    /// <summary>Rounds to whole cents.</summary>\n    /// <param name=\"amount\">the amount</param>\n    public decimal Round(decimal amount)\n    {\n        return amount;\n    }\n    /// <inheritdoc/>\n    public void Stop() { }\n}\n"),
+    ("f.java", "class B {\n    /** Two threads may call it at once. @param left a @param right b */\n    /** Adds both halves of the ledger.\n     * @param left the left\n     * @param right the right\n     */\n    int add(int left, int right) { return left + right; }\n}\n"),
+)
+#: What :data:`SOURCES` hold, read off by hand: path, name, kind, line, description.
+SOURCE_PAIRS = (
+    ("a.py", "keep", "function", 1, "Keeps the newest rows and drops the rest."), ("a.py", "wait", "function", 18, "Waits until the lock is free."), ("b.ts", "sorted", "function", 5, "Sorts by age before it answers."),
+    ("c.go", "Close", "function", 2, "Close gives the handle back to the pool."), ("d.rs", "poll", "function", 2, "Never blocks."), ("d.rs", "count", "function", 5, "Counts\neach page once."),
+    ("e.cs", "Round", "method", 4, "Rounds to whole cents."), ("f.java", "add", "method", 7, "Adds both halves of the ledger."),
+)
+
+
+def p1_source_samples(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of small files in several languages."""
+    files = spark.createDataFrame(list(SOURCES), "path string, content string")
+    return comments.paired_sources(files, "path", "content").select(F.col("key").alias("path"), "name", "kind", "line", "description")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return fusion.fused_top(table(spark, d, "search_results"), 3).select("query_id", "fqn")
 
@@ -86,7 +109,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_pairs, p1_source_pairs, p2_found, p2_fused, p4_found, p4_knn, p8_ids, p8_roundtrip, p9_found, p9_proximity, p9_report, p10_found, p10_composition)
+    for f in (p1_found, p1_pairs, p1_source_pairs, p1_source_samples, p2_found, p2_fused, p4_found, p4_knn, p8_ids, p8_roundtrip, p9_found, p9_proximity, p9_report, p10_found, p10_composition)
 }
 
 _RRF = """
@@ -122,7 +145,10 @@ best AS (SELECT doc_id, item_id, shift, max(n) AS n, min(pos) AS p FROM near WHE
 SELECT doc_id, item_id, max(n)::INTEGER AS n_words, arg_min(p, (-n, p))::INTEGER AS first_pos FROM best GROUP BY ALL
 """
 
+_SQL_TEXT = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
 ORACLE = {
+    "p1_source_samples": f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_SQL_TEXT, r)) + ')' for r in SOURCE_PAIRS)}) AS t(path, name, kind, line, description)",
     "p2_found": f"""
 WITH {_RRF}
 SELECT query_id, fqn FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 12) DESC, fqn) AS k FROM fused) WHERE k <= 3""",
