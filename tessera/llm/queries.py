@@ -64,9 +64,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_knn(spark: SparkSession, d: str) -> DataFrame:
     """The five most similar of every symbol whose id is divisible by 20, against all vectors."""
-    vectors = _vectors(spark, d)
-    asked = vectors.where(F.col("key").startswith("symbol:") & (F.expr("try_cast(substring(key, 8) AS BIGINT)") % 20 == 0)).select("key")
-    return kmtree.nearest(vectors, 5, asked).select("key", "other", F.round("similarity", 4).alias("similarity"), "place")
+    asked = F.col("key").startswith("symbol:") & (F.expr("try_cast(substring(key, 8) AS BIGINT)") % 20 == 0)
+    return kmtree.nearest(_vectors(spark, d), 5, asked).select("key", "other", F.round("similarity", 4).alias("similarity"), "place")
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
