@@ -137,7 +137,7 @@ def _page_sql(section: str, body: str) -> str:
 
 @_q(f"""WITH {LIVE}, hits AS (SELECT * FROM ({_search_sql("the newest throws")}) WHERE place <= 10),
 x AS (SELECT fqn AS f FROM hits JOIN live USING (fqn) WHERE lower(kind) IN ('class', 'interface', 'method', 'record', 'struct', 'function') ORDER BY place LIMIT 1),
-own AS (SELECT f, regexp_extract(CASE WHEN instr(f, '(') > 1 THEN split_part(f, '(', 1) ELSE f END, '(?s)^(.*)\.[^.]*$', 1) AS owner, regexp_extract(CASE WHEN instr(f, '(') > 1 THEN split_part(f, '(', 1) ELSE f END, '[^.]*$') AS name FROM x),
+own AS (SELECT f, regexp_extract(CASE WHEN instr(f, '(') > 1 THEN split_part(f, '(', 1) ELSE f END, '(?s)^(.*)[.][^.]*$', 1) AS owner, regexp_extract(CASE WHEN instr(f, '(') > 1 THEN split_part(f, '(', 1) ELSE f END, '[^.]*$') AS name FROM x),
 i AS (SELECT DISTINCT to_fqn AS i FROM e, own WHERE type = 'Implements' AND contains(from_fqn, owner)),
 iface AS (SELECT a.from_fqn AS fqn FROM e a, i, own WHERE a.type = 'Calls' AND owner <> '' AND contains(a.to_fqn, i) AND NOT contains(a.from_fqn, i)
   AND regexp_extract(CASE WHEN instr(a.to_fqn, '(') > 1 THEN split_part(a.to_fqn, '(', 1) ELSE a.to_fqn END, '[^.]*$') = name)
