@@ -63,8 +63,9 @@ class PostingsIndex:
         return PostingsIndex(materialize(_postings(docs, doc, text, range_words), "postings"))
 
     def write(self, path: str) -> None:
-        """Keep the index for later sets of items."""
-        self.lists.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        """Keep the index for later sets of items, laid out by ranges of terms, so that a search for few terms reads few row groups."""
+        by_term = self.lists.repartitionByRange("term", "range_id").sortWithinPartitions("term", "range_id")
+        by_term.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> PostingsIndex:
@@ -248,11 +249,12 @@ def find_leaks(index: PostingsIndex, items: DataFrame, item: str, item_text: str
         if not terms:
             continue
         wanted = F.broadcast(spark.createDataFrame([(t,) for t in terms], "term string"))  # at most the words of one chunk
-        df = {r[0]: r[1] for r in index.lists.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n")).collect()}
+        lists = index.lists.where(F.col("term").between(terms[0], terms[-1])).join(wanted, "term", "left_semi")
+        df = {r[0]: r[1] for r in lists.groupBy("term").agg(F.sum("n")).collect()}
         plans = [p for i, ws in chunk if (p := plan(i, ws, df, min_words, span))]
         if not plans:
             continue
-        kept = index.lists.where("term IS NULL").unionByName(index.lists.join(wanted, "term", "left_semi").select(index.lists.columns))
+        kept = index.lists.where("term IS NULL").unionByName(lists.select(index.lists.columns))
         hits = kept.repartition(tasks, "range_id").groupBy("range_id").applyInPandas(_searcher(spark.sparkContext.broadcast(plans), min_words, span), schema)
         out = hits if out is None else out.unionByName(hits)
     if out is None:
