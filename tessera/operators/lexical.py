@@ -21,11 +21,12 @@ from tessera.functions import text as X
 
 # Words that no query looks for.
 STOP_WORDS = (
-    "a an the is are was were be been being have has had do does did will would could should may might shall can need must "
-    "in on at to for of with by from as into through during before after above below and but or nor not so yet both either "
-    "this that these those it its what which who whom how where when why all each every any few more most some "
-    "about between under over such only also than"
-).split()
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may",
+    "might", "shall", "can", "need", "must", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as", "into", "through", "during", "before", "after",
+    "above", "below", "and", "but", "or", "nor", "not", "so", "yet", "both", "either", "this", "that", "these", "those", "it", "its", "what", "which", "who",
+    "whom", "how", "where", "when", "why", "all", "each", "every", "any", "few", "more", "most", "some", "about", "between", "under", "over", "such", "only",
+    "also", "than",
+)
 #: Weights of name, fqn, signature and documentation.
 FIELDS = {"name": 1.0, "fqn": 0.4, "signature": 0.2, "documentation": 0.1}
 #: Words that make a query a structural one.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import graph as G
+from tessera.operators.rank import numbered
 from tessera.tables import blank, live_rows, table
 
 QUERIES: dict = {}
@@ -257,12 +258,19 @@ def g15_on_cycle_inherits(spark, d):
     return G.on_cycle(more_edges(spark, d), "Inherits")
 
 
-@_q("")
+@_q(f"""
+WITH RECURSIVE {LIVE}, a AS (SELECT from_fqn, to_fqn FROM e WHERE type = 'Inherits'),
+r AS (SELECT from_fqn AS s, to_fqn AS t FROM a UNION SELECT r.s, a.to_fqn FROM r JOIN a ON a.from_fqn = r.t),
+c AS (SELECT s FROM r WHERE s = t), k AS (SELECT * FROM a WHERE from_fqn IN (SELECT s FROM c) AND to_fqn IN (SELECT s FROM c)),
+w AS (
+  SELECT from_fqn AS s, to_fqn AS t, [from_fqn, to_fqn] AS p FROM k WHERE to_fqn >= from_fqn
+  UNION ALL SELECT w.s, k.to_fqn, list_append(w.p, k.to_fqn) FROM w JOIN k ON k.from_fqn = w.t
+  WHERE w.t <> w.s AND k.to_fqn >= w.s AND (k.to_fqn = w.s OR NOT list_contains(w.p, k.to_fqn)))
+SELECT 'all' AS repo_id, (row_number() OVER (ORDER BY s, p) - 1)::INTEGER AS n, array_to_string(p, ' -> ') AS path FROM w WHERE t = s""")
 def g15_cycle_paths(spark, d):
     """All cycles of Inherits edges, which may cross repositories: one group, numbered by the smallest fqn of the component."""
     paths = G.all_cycle_paths(edges(spark, d), "Inherits")
-    n = F.row_number().over(Window.orderBy("component", "n")) - 1
-    return paths.select(F.lit("all").alias("repo_id"), n.alias("n"), F.array_join("path", " -> ").alias("path"))
+    return numbered(paths, "component", "n").select(F.lit("all").alias("repo_id"), (F.col("place") - 1).alias("n"), F.array_join("path", " -> ").alias("path"))
 
 
 @_q(f"WITH {LIVE} SELECT fqn, lower(kind) AS kind, name, (SELECT count(*) FROM live WHERE lower(kind) IN ('class', 'method')) AS total_matching FROM live WHERE lower(kind) IN ('class', 'method') ORDER BY 2, 3, 1 LIMIT 500")
@@ -416,8 +424,6 @@ def sel11_dropped_counts(spark, d):
 @_q("WITH " + LIVE + ", k AS (SELECT fqn, row_number() OVER (PARTITION BY lower(kind) ORDER BY name, fqn) AS place, count(*) OVER (PARTITION BY lower(kind)) AS n, lower(kind) AS kind FROM live) SELECT kind, fqn, place, greatest(n - 15, 0) AS more FROM k WHERE place <= 15")
 def o07_first_n_with_overflow(spark, d):
     """The first 15 symbols of each kind and how many more there are."""
-    from pyspark.sql import Window
-
     s = symbols(spark, d).select(F.lower("kind").alias("kind"), "fqn", "name")
     w = Window.partitionBy("kind").orderBy("name", "fqn")
     first = s.withColumn("place", F.row_number().over(w)).where("place <= 15")

@@ -165,10 +165,10 @@ def project_name(files: DataFrame, directory: str) -> DataFrame:
 INGEST = "symbols array<struct<fqn:string,name:string,kind:string,signature:string,file_path:string,repo_id:string>>, relationships array<struct<from_fqn:string,to_fqn:string,type:string>>, file_hashes map<string,string>, project_name string"
 # Names of edge types; an unknown one counts as References.
 EDGE_TYPES = (
-    "Declares Inherits Implements HasMethod HasProperty HasConstructor HasField HasEvent Calls TestCovers Creates References UsesType DependsOn Overrides "
-    "Throws Catches HttpCalls MapsTo Configures HandledBy ReadsConfig Subscribes Publishes PipelineOrder AcceptsDto ReturnsDto HasSection "
-    "ContainsProject ContainsNamespace BelongsToModule"
-).split()
+    "Declares", "Inherits", "Implements", "HasMethod", "HasProperty", "HasConstructor", "HasField", "HasEvent", "Calls", "TestCovers", "Creates", "References",
+    "UsesType", "DependsOn", "Overrides", "Throws", "Catches", "HttpCalls", "MapsTo", "Configures", "HandledBy", "ReadsConfig", "Subscribes", "Publishes",
+    "PipelineOrder", "AcceptsDto", "ReturnsDto", "HasSection", "ContainsProject", "ContainsNamespace", "BelongsToModule",
+)
 
 
 def known_type(c: Column | str) -> Column:

@@ -354,3 +354,63 @@ def test_approximate_neighbours_reach_their_recall(spark):
         true = set(np.argsort(-(u @ u[q]))[:10].tolist())
         shares.append(len(true & {t["key"] for t in R.ann_top(index, "key", "v", x[q].tolist()).collect()}) / 10)
     assert np.mean(shares) >= 0.9
+
+
+def test_archives_have_limits(spark):
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("big.py", "x" * 5000)
+    df = spark.createDataFrame([("a", out.getvalue()), ("b", out.getvalue()[:40]), ("c", b"")], "name string, data binary").withColumn("path", F.lit("clash"))
+    got = {r["archive"]: r["error"] for r in S.unzipped(df, "name", "data", 4000).collect()}
+    assert set(got) == {"a", "b", "c"} and got["a"] == "the archive is too large" and all(got.values())
+    assert S.unzipped(df.where("name = 'a'"), "name", "data").first()["length"] == 5000
+    assert S.unzipped(df.limit(0), "name", "data").count() == 0
+
+
+def test_memory_tools(spark):
+    now = F.lit("2025-01-10 00:00:00").cast("timestamp_ntz")
+    rows = [("a", "one", "global", None, "note", 0.9, ["x"], None, dt.datetime(2025, 1, 9), dt.datetime(2025, 1, 9), 1), ("b", "two", "session", "s", "note", 0.5, [], None, dt.datetime(2025, 1, 9), dt.datetime(2025, 1, 9), 0)]
+    m = spark.createDataFrame(rows, "id string, content string, scope string, scope_id string, topic string, importance float, related_fqns array<string>, embedding array<float>, created_at timestamp_ntz, last_accessed_at timestamp_ntz, access_count int")
+    after, found = M.tool(m, "recall", now, limit=1)
+    assert [r["id"] for r in found.collect()] == ["a"] and {r["id"]: r["access_count"] for r in after.collect()} == {"a": 2, "b": 0}
+    after, gone = M.tool(m, "forget", now, id="b")
+    assert gone.first()[0] == 1 and after.count() == 1
+    assert M.tool(m, "clear", now, session="t")[1].first()[0] == 0
+    assert M.tool(m, "list", now, topic="note")[1].count() == 2
+    with pytest.raises(ValueError):
+        M.tool(m, "odd", now)
+
+
+def test_progress_is_followed(spark, tmp_path):
+    from tessera.streaming import progress as P
+
+    told = P.Progress(spark, str(tmp_path), "r")
+    told.tell("scan", 0, 2)
+    told.tell("done", 2, 2, "ok")
+    assert [(r["seq"], r["phase"]) for r in P.events(spark, str(tmp_path)).orderBy("seq").collect()] == [(0, "scan"), (1, "done")]
+    with pytest.raises(RuntimeError):
+        P.Progress(spark, str(tmp_path), "r").tell("again")
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    from tessera.session import is_small
+
+    df = spark.range(100).withColumn("t", F.repeat(F.lit("x"), 1000))
+    assert is_small(df) and not is_small(df, max_rows=99) and not is_small(df, max_bytes=50_000) and is_small(df.limit(0))
+
+
+def test_hybrid_uses_what_is_there(spark):
+    rows = [("a.LoadPage", "LoadPage", None, None), ("b.Other", "Other", None, "Loads a page.")]
+    s = spark.createDataFrame(rows, "fqn string, name string, signature string, documentation string")
+    v = spark.createDataFrame([("b.Other", [1.0, 0.0]), ("a.LoadPage", [0.0, 1.0]), ("c.Bad", None)], "fqn string, embedding array<float>")
+    names = lambda **k: [(r["fqn"], r["source"]) for r in L.hybrid(s, v, "where is LoadPage used", **k).orderBy("place").collect()]
+    assert names(embed=lambda q: None) == [("a.LoadPage", "bm25")]
+    assert names(embed=lambda q: [1.0, 0.1]) == [("a.LoadPage", "vector"), ("b.Other", "vector")]
+    asked = []
+    L.hybrid(s, v, "q", lambda q: asked.append(q), hypothetical=lambda q: "a document")
+    L.hybrid(s, v, "q", lambda q: asked.append(q), hypothetical=lambda q: 1 / 0)
+    assert asked == ["a document", "q"]
+    assert ("b.Other", "expanded") in names(embed=lambda q: None, variants=lambda q: [q, "other thing"])
