@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.session import BROADCAST_ROWS, bounded, is_small, materialize, release
+from tessera.session import BROADCAST_BYTES, BROADCAST_ROWS, bounded, is_small, materialize, release
 from tessera.tables import blank
 
 #: Levels after which a traversal writes what it has seen, so that the plan stays short.
@@ -58,12 +58,15 @@ def walks(ways: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
         found = materialize(found, f"level-{level}")
         new = found.withColumn("dist", F.lit(level))
         seen = new if seen is None else seen.unionByName(new)
-        if level == depth or found.limit(1).count() == 0:
+        if level == depth:
             break
+        n, size = found.agg(F.count(F.lit(1)), F.sum(F.octet_length("fqn"))).first()
+        if n == 0:
+            break
+        small = n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
         if level % CUT_EVERY == 0:
             seen = materialize(seen, f"seen-{level}")
         frontier = found.select("branch", F.col("fqn").alias("_at"))
-        small = is_small(frontier)
     return seen
 
 
