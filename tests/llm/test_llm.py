@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 import random
+import time
 from pathlib import Path
 
 import numpy as np
@@ -11,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, comments, fusion, kmtree, leak, subjects
+from tessera.session import materialize
 
 T0 = dt.datetime(2025, 1, 10)
 DATA = "/root/testdata/sf0.01"
@@ -435,3 +438,53 @@ def test_subject_cases(spark):
     assert not {r[0] for r in got.select("doc_id").collect()} & {9001, 9002, 9003, 9004}
     assert subjects.subject_areas(spark, docs.limit(0), t("subject_areas"), t("subject_examples")).count() == 0
     assert subjects.subject_areas(spark, few, t("subject_areas"), t("subject_examples").limit(0)).count() == 0
+
+
+def test_search_in_rounds_bounds_what_lies_on_disk(spark, monkeypatch, tmp_path):
+    """However many cells a query goes to, no more vectors than the collection has are sent at a time, and the result is that of one round."""
+    monkeypatch.setattr(kmtree, "UNIT_ROWS", 100)
+    monkeypatch.setattr(kmtree, "LEAF_ROWS", 40)
+    x = _clusters(3000, 32)
+    df = materialize(_vectors(spark, x), "test-vectors")
+    index = kmtree.build(df, 5)
+    cells = kmtree.Cells.of(index, len(x))
+    assert cells.load @ (cells.blocks * cells.asks) > 3 * len(x)
+    want = {tuple(r) for r in kmtree.neighbours(df, index, 5).collect()}
+    sent = []
+    real = kmtree.materialize
+
+    def watched(frame, name, drop_shuffles=False):
+        back = real(frame, name, drop_shuffles)
+        if name == "nearest-so-far":
+            assert drop_shuffles
+            sent.append(name)
+        return back
+
+    monkeypatch.setattr(kmtree, "materialize", watched)
+    monkeypatch.setattr(kmtree, "ROUND_ROWS", 1)
+    rounds = cells.rounds(len(x))
+    loads = np.repeat(cells.load, cells.blocks * cells.asks)
+    assert rounds[0][0] == 0 and rounds[-1][1] == cells.count and all(a[1] == b[0] for a, b in itertools.pairwise(rounds))
+    assert max(loads[lo:hi].sum() for lo, hi in rounds) <= len(x) + loads.max()
+    assert {tuple(r) for r in kmtree.neighbours(df, index, 5).collect()} == want
+    assert len(sent) == len(rounds) > 3
+    some = df.where(F.col("key").endswith("7"))
+    near = {(r["key"], r["place"]): (r["other"], pytest.approx(r["similarity"], abs=1e-5)) for r in kmtree.neighbours(df, index, 5, some).collect()}
+    assert near == {(key, place): (other, s) for key, other, s, place in want if key.endswith("7")}  # products of other shapes round otherwise
+
+
+def test_shuffle_files_of_a_written_frame_are_dropped(spark):
+    """No shuffle of the vectors stays on disk until the driver collects its garbage."""
+    dirs = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    held = lambda: {f.name for d in dirs for f in Path(d).glob("*/shuffle_*.data")}
+    before = held()
+    kept = materialize(spark.range(20_000).repartition(3, "id"), "test-kept")
+    assert held() - before
+    between = held()
+    dropped = materialize(spark.range(20_000).repartition(3, "id"), "test-dropped", drop_shuffles=True)
+    for _ in range(50):
+        if not held() - between:
+            break
+        time.sleep(0.1)
+    assert not held() - between
+    assert kept.count() == dropped.count() == 20_000
